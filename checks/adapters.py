@@ -366,7 +366,7 @@ SERP = "xdt_fbsearch__top_serp_graphql"
 def _post(id_: Column, taken_at: Column) -> Column:
     # A nested page info, which must not be taken for the page's own.
     deep = jkey("page_info", '{"end_cursor":"nested","has_next_page":true}')
-    return jo(__typename='"XDTMediaDict"', pk=jn(id_), taken_at=jn(taken_at), clips_stream=deep)
+    return jo(__typename='"XDTMediaDict"', pk=js(id_.cast("string")), taken_at=jn(taken_at), clips_stream=deep)
 
 
 def page_bodies(e: DataFrame) -> DataFrame:

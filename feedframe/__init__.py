@@ -52,6 +52,7 @@ from feedframe.operators.routing import (
     shortcode_posts,
 )
 from feedframe.plans.lifecycle import rebuild_runs
+from feedframe.schemas import FLAT_SCHEMA, PAGE_SCHEMA, POST_SCHEMA
 from feedframe.session import build_session
 from feedframe.sinks.runs import run_documents, save_all, save_posts, save_runs
 from feedframe.sinks.tables import (

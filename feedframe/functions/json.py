@@ -77,6 +77,11 @@ def has_value(value: Column) -> Column:
     return value.isNotNull() & ~F.coalesce(F.is_variant_null(value), F.lit(False))
 
 
+def counts(value: Column) -> Column:
+    """Truth of a VARIANT, as a condition would see it: 0 is nothing, "0" is something."""
+    return has_value(value) & ~F.to_json(value).isin("null", "false", "0", '""', "[]", "{}")
+
+
 def is_object(value: Column) -> Column:
     """Whether a VARIANT is a JSON object. Looks at its own keys only."""
     return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()

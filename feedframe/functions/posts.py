@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedframe.constants import FEED_ITEM_TYPENAME, MEDIA_TYPENAME
-from feedframe.functions.json import child, text_at, to_long, truthy, when_truthy
+from feedframe.functions.json import child, counts, text_at, to_long, truthy, when_truthy
 from feedframe.schemas import (
     OWNER_SCHEMA,
     POST_KEYS_SCHEMA,
@@ -30,7 +30,7 @@ def post_id(raw: Column) -> Column:
     keys = F.from_json(raw, POST_KEYS_SCHEMA)
 
     def own(node: Column) -> Column:
-        return F.coalesce(when_truthy(node["pk"]), node["id"])
+        return F.coalesce(F.when(counts(node["pk"]), text_at(node["pk"], "$")), node["id"])
 
     return F.coalesce(own(keys), own(keys["media"]))
 

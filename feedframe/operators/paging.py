@@ -17,7 +17,7 @@ from feedframe.constants import (
     SUCCESS,
 )
 from feedframe.functions.once import computed
-from feedframe.functions.json import child, has_value, is_object, text_at
+from feedframe.functions.json import child, counts, has_value, is_object, text_at
 from feedframe.functions.posts import post_timestamp
 from feedframe.functions.walk import key_walker, page_info_walker
 from feedframe.operators.filters import is_rate_limited
@@ -25,14 +25,6 @@ from feedframe.operators.routing import has_post_connection
 from feedframe.operators.running import CHUNK_WIDTH, running
 from feedframe.sources.responses import error_text, payload_texts
 
-_FALSY = ("null", "false", "0", '""', "[]", "{}")
-
-
-def _counts(value: Column) -> Column:
-    """Truth of a VARIANT, as a condition would see it. Never null."""
-    return has_value(value) & ~F.to_json(value).isin(*_FALSY)
-
-
 # ---- cursors ---------------------------------------------------------------
 def _is_page_info(info: Column) -> Column:
     keyed = child(info, "$.end_cursor").isNotNull() | child(info, "$.has_next_page").isNotNull()
@@ -73,7 +65,7 @@ def page_info(parsed: DataFrame) -> DataFrame:
         .withColumn("end_cursor", F.coalesce(text_at(F.col("_info"), "$.end_cursor"), F.col("_deep.end_cursor")))
         .withColumn(
             "has_next_page",
-            F.when(F.col("_info").isNotNull(), _counts(child(F.col("_info"), "$.has_next_page"))).otherwise(
+            F.when(F.col("_info").isNotNull(), counts(child(F.col("_info"), "$.has_next_page"))).otherwise(
                 F.coalesce(F.col("_deep.has_next_page"), F.lit(False))
             ),
         )
@@ -101,7 +93,7 @@ def v1_page_info(parsed: DataFrame) -> DataFrame:
         parsed.withColumn("_next", deep_first(payloads, body, "next_max_id"))
         .withColumn("_more", deep_first(payloads, body, "more_available"))
         .withColumn("end_cursor", text_at(cursor, "$"))
-        .withColumn("has_next_page", F.when(has_value(more), _counts(more)).otherwise(_counts(cursor)))
+        .withColumn("has_next_page", F.when(has_value(more), counts(more)).otherwise(counts(cursor)))
         .drop("_next", "_more")
     )
 

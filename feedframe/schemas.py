@@ -41,7 +41,7 @@ facepile_top_likers ARRAY<STRUCT<username: STRING, id: STRING, profile_pic_url:
 
 # Small schemas for operators that read a few keys of a post, so that the parser
 # skips the rest of the text.
-POST_KEYS_SCHEMA = "pk STRING, id STRING, media STRUCT<pk: STRING, id: STRING>"
+POST_KEYS_SCHEMA = "pk VARIANT, id STRING, media STRUCT<pk: VARIANT, id: STRING>"
 POST_TIME_SCHEMA = "caption VARIANT, taken_at STRING, media STRUCT<taken_at: STRING>"
 POST_SHAPE_SCHEMA = "`__typename` STRING, media STRING"
 POST_AUTHOR_SCHEMA = """

@@ -59,15 +59,16 @@ def run_documents(
     )
 
 
-def save_runs(documents: DataFrame, path: str) -> None:
-    """Write each document to a file of its own below ``path/run_id=../part=..``."""
-    (
-        documents.withColumn("run", F.col("run_id"))
-        .write.mode("overwrite")
-        .option("ignoreNullFields", "false")
-        .partitionBy("run", "part")
-        .json(path)
-    )
+def save_runs(documents: DataFrame, path: str, file_per_run: bool = False) -> None:
+    """Write documents as JSON, one per line.
+
+    With ``file_per_run`` each gets a file of its own, ``path/run=../part=..``: handy for
+    a few runs, but millions of runs make millions of files.
+    """
+    writer = documents.write
+    if file_per_run:
+        writer = documents.withColumn("run", F.col("run_id")).write.partitionBy("run", "part")
+    writer.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def save_posts(posts: DataFrame, path: str) -> None:

@@ -191,12 +191,14 @@ def split_run_documents(documents: DataFrame) -> Runs:
     return Runs(runs, children("posts"), children("users"))
 
 
-def read_runs(spark: SparkSession, path: str) -> Runs:
+def read_runs(spark: SparkSession, path: str, lines: bool = False) -> Runs:
     """Saved result documents (one file or a folder) as tables.
 
+    A file holds one document, or with ``lines`` one per line, which splits over tasks.
+
     A run saved in several documents, as ``save_run`` does for long runs, comes back as
     one run: its documents carry the same ``run_id``.
     """
     glob = _glob(DOCUMENT_EXTENSIONS) if is_directory(spark, path) else None
-    documents = _text(spark, path, glob, whole=True).withColumn("value", strip(F.col("value")))
+    documents = _text(spark, path, glob, whole=not lines).withColumn("value", strip(F.col("value")))
     return split_run_documents(documents.where(F.col("value").startswith("{")))

@@ -24,6 +24,11 @@ from feedframe.sources.responses import parse_responses
 # Workers get the processors by value, so that executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# The one state store that processors with several states work on.
+_STATE_STORE = (
+    "spark.sql.streaming.stateStore.providerClass",
+    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+)
 _STATE = (
     "run_id string, page_seq bigint, endpoint string, start_unix bigint, cursor_sent string, "
     "end_cursor string, has_next_page boolean, error string, connection_present boolean, "
@@ -38,7 +43,7 @@ def stream_page_rows(pages: DataFrame) -> DataFrame:
     """Per page its facts and the ``(id, ts)`` of its posts in order. Keeps no state."""
     parsed = parse_responses(pages)
     nodes = F.flatten(F.transform("payloads", lambda p: post_nodes(route_of(p), p)))
-    raw = F.transform(nodes, F.to_json)
+    raw = F.transform(nodes, lambda n: F.to_json(n))
     return (
         page_facts(parsed.withColumn("_raw", raw), carry=("_raw",))
         .withColumn(
@@ -135,6 +140,7 @@ def stream_page_states(page_rows: DataFrame) -> DataFrame:
     A page that arrives after a later one of its run was handled is passed on with
     ``late`` set and without counts.
     """
+    page_rows.sparkSession.conf.set(*_STATE_STORE)
     return page_rows.groupBy("run_id").transformWithStateInPandas(
         statefulProcessor=_PageStates(), outputStructType=_STATE, outputMode="Append", timeMode="None"
     )
