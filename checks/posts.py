@@ -345,8 +345,8 @@ def top_3_best_image(spark, sf):
       [url_a, url_b, audio, CASE WHEN audio IS NOT NULL THEN 'https://v.example/first-audio' END], lambda x: x IS NOT NULL))), ' ') END AS urls FROM best"""
 )
 def set_3_distinct_base_urls(spark, sf):
-    urls = distinct_base_urls(parse_manifest(F.col("xml")))
-    return a.manifests(spark, sf).select(
+    urls = distinct_base_urls(F.col("m"))
+    return a.manifests(spark, sf).withColumn("m", parse_manifest(F.col("xml"))).select(
         "l_orderkey", "l_linenumber", "url_a", F.coalesce(F.array_join(urls, " "), F.lit("")).alias("urls")
     )
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedframe.constants import (
-    CONNECTION_KEYS,
     END_OF_FEED,
     MAX_PAGES,
     NO_PROGRESS_LIMIT,
@@ -38,29 +37,23 @@ def _json_array(texts: Column) -> Column:
 def page_info(parsed: DataFrame) -> DataFrame:
     """Add ``end_cursor, has_next_page`` of the shallowest ``page_info`` of each page.
 
-    A page with one payload that holds its page info at the top or under exactly one
-    connection key is settled by path. Others (several payloads, other or deeper
-    places) are walked level by level, over Arrow batches, in the order of the ``body``;
-    rows settled by path hand that step nothing.
+    A page with one payload that holds its page info at the top, or under exactly one of
+    its keys, is settled by path. Others (several payloads, deeper or equal places) are
+    walked level by level, over Arrow batches, in the order of the ``body``; settled rows
+    hand that step nothing.
     """
-    payload = F.get("payloads", F.lit(0))
-    places = ["$.page_info", *[f"$.{k}.page_info" for k in CONNECTION_KEYS]]
-    top, *under = [F.when(_is_page_info(child(payload, p)), child(payload, p)) for p in places]
-    # A page info under any other key of the payload would be as shallow as one under a
-    # connection key, and could come first: such payloads are walked.
-    other_keys = F.filter(
-        F.map_entries(F.try_variant_get(payload, "$", "map<string,variant>")),
-        lambda e: ~e["key"].isin(*CONNECTION_KEYS) & _is_page_info(child(e["value"], "$.page_info")),
+    payload = F.when(F.size("payloads") == 1, F.get("payloads", F.lit(0)))
+    under = F.transform(
+        F.map_values(F.try_variant_get(payload, "$", "map<string,variant>")), lambda v: child(v, "$.page_info")
+    )
+    places = computed(parsed, _top=child(payload, "$.page_info"), _under=F.filter(under, _is_page_info))
+    known = F.when(_is_page_info(F.col("_top")), F.col("_top")).when(
+        F.size("_under") == 1, F.get("_under", F.lit(0))
     )
-    single = (
-        sum((u.isNotNull().cast("int") for u in under), F.lit(0)) == 1
-    ) & (F.size(other_keys) == 0)
-    one = F.size("payloads") == 1
-    known = F.when(one & top.isNotNull(), top).when(one & single, F.coalesce(*under))
     unknown = (F.size("payloads") > 0) & F.col("_info").isNull()
     walked = F.when(unknown, _json_array(payload_texts(F.col("body"))))
     settled = (
-        computed(parsed, _info=known)
+        computed(places, _info=known)
         .withColumn("_deep", page_info_walker()(walked))
         .withColumn("end_cursor", F.coalesce(text_at(F.col("_info"), "$.end_cursor"), F.col("_deep.end_cursor")))
         .withColumn(
@@ -70,7 +63,7 @@ def page_info(parsed: DataFrame) -> DataFrame:
             ),
         )
     )
-    return settled.drop("_info", "_deep")
+    return settled.drop("_top", "_under", "_info", "_deep")
 
 
 def deep_first(payloads: Column, body: Column, key: str) -> Column:

@@ -11,17 +11,15 @@ from feedframe.constants import API_PREFIXES, API_RESOURCE_TYPE
 from feedframe.functions.once import computed, exploded
 from feedframe.functions.json import (
     LINE_BREAK,
-    child,
     is_json,
     is_object,
-    items_at,
-    json_value,
     non_empty,
     strip,
     text_at,
 )
 
 _ERROR = "array<struct<message:string,raw:string>>"
+_RESPONSE = "array<struct<data:variant,errors:array<variant>,status:string,message:string>>"
 
 
 def filter_api_responses(pages: DataFrame) -> DataFrame:
@@ -30,20 +28,20 @@ def filter_api_responses(pages: DataFrame) -> DataFrame:
     return pages.where((F.col("resource_type") == API_RESOURCE_TYPE) & from_api)
 
 
-def _objects(body: Column) -> Column:
-    """JSON values of a body: the body itself, or its parsable lines."""
-    lines = F.transform(F.split(body, LINE_BREAK), lambda line: json_value(strip(line)))
-    return F.filter(lines, lambda v: v.isNotNull())
+def _values(text: Column) -> Column:
+    """The JSON value of a text as an array of one, read in one pass; null if the text is
+    not exactly one value (which the brackets make an error)."""
+    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), _RESPONSE)
 
 
 def _errors_of(obj: Column) -> Column:
     listed = F.transform(
-        F.filter(items_at(obj, "$.errors"), is_object),
+        F.filter(F.coalesce(obj["errors"], F.array().cast("array<variant>")), is_object),
         lambda e: F.struct(text_at(e, "$.message").alias("message"), F.to_json(e).alias("raw")),
     )
-    message = F.coalesce(non_empty(text_at(obj, "$.message")), F.lit("status: fail"))
-    failed = F.array(F.struct(message.alias("message"), F.to_json(obj).alias("raw")))
-    return F.when(text_at(obj, "$.status") == "fail", F.concat(listed, failed)).otherwise(listed)
+    message = F.coalesce(non_empty(obj["message"]), F.lit("status: fail"))
+    failed = F.array(F.struct(message.alias("message"), message.alias("raw")))
+    return F.when(obj["status"] == "fail", F.concat(listed, failed)).otherwise(listed)
 
 
 def payload_texts(body: Column) -> Column:
@@ -61,13 +59,18 @@ def parse_responses(pages: DataFrame) -> DataFrame:
     A body is one JSON value or JSON lines; unreadable lines and values that are no
     objects are skipped. A ``status`` of ``fail`` adds an error of its own.
     """
-    none = F.array().cast("array<variant>")
-    whole = pages.withColumn("_body", strip(F.col("body"))).withColumn("_whole", json_value(F.col("_body")))
-    values = F.when(F.col("_whole").isNotNull(), F.array("_whole")).otherwise(_objects(F.col("_body")))
-    objects = whole.withColumn("_objects", F.filter(F.coalesce(values, none), is_object))
-    payloads = F.filter(F.transform("_objects", lambda o: child(o, "$.data")), is_object)
-    errors = F.flatten(F.transform("_objects", _errors_of)).cast(_ERROR)
-    return computed(objects, payloads=payloads, errors=errors).drop("_body", "_whole", "_objects")
+    read = computed(pages, _read=_values(strip(F.col("body"))))
+    lines = F.transform(F.split(strip(F.col("body")), LINE_BREAK), lambda line: _values(strip(line)))
+    of_lines = F.flatten(F.filter(lines, lambda v: F.size(v) == 1))
+    values = F.when(F.size("_read") == 1, F.col("_read")).otherwise(of_lines)
+    objects = read.withColumn("_objects", F.filter(values, lambda o: o.isNotNull()))
+    payloads = F.filter(F.transform("_objects", lambda o: o["data"]), is_object)
+    errors = F.flatten(F.transform("_objects", _errors_of))
+    return computed(
+        objects,
+        payloads=F.coalesce(payloads, F.array().cast("array<variant>")),
+        errors=F.coalesce(errors, F.array().cast(_ERROR)).cast(_ERROR),
+    ).drop("_read", "_objects")
 
 
 def payload_rows(parsed: DataFrame) -> DataFrame:
