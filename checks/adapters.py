@@ -22,8 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    """Run a derivation over driver tables. Spark reads them from ``sf_dir``."""
+    """Run a derivation over driver tables. Spark reads them from ``sf_dir``.
+
+    A small driver table is one file that only one task can read; its rows are spread
+    then, since the text made of them is much larger. Tables of many splits stay as read.
+    """
     frames = {n: table(spark, sf_dir, n) for n in tables}
+    cores = spark.sparkContext.defaultParallelism
+    first = tables[0]
+    if frames[first].rdd.getNumPartitions() * 2 <= cores:
+        frames[first] = frames[first].repartition(cores)
     for n in tables:
         sql = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", sql)
     return spark.sql(sql, **frames)

@@ -37,20 +37,12 @@ def to_long(text: Column) -> Column:
     return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
 
 
-def json_value(text: Column) -> Column:
-    """VARIANT of a text holding exactly one JSON value, else null.
+def is_json(text: Column) -> Column:
+    """Whether the text is exactly one JSON value.
 
-    The bare parser stops after the first value and ignores what follows. Parsing the
-    text as the only element of an array makes trailing text an error.
+    A bare parser stops after the first value and ignores what follows. Read as the only
+    item of an array, trailing text is an error.
     """
-    items = F.try_variant_get(
-        F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>"
-    )
-    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
-
-
-def is_json(text: Column) -> Column:
-    """Whether the text is exactly one JSON value."""
     length = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
     return F.coalesce(length == 1, F.lit(False))
 
