@@ -64,10 +64,10 @@ def is_directory(spark: SparkSession, path: str) -> bool:
 
 
 def _text(spark: SparkSession, path: str, glob: str | None, whole: bool) -> DataFrame:
-    reader = spark.read.option("wholetext", whole)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(
+    return reader.text(path, wholetext=whole).select(
         F.col("_metadata.file_path").alias("src_file"),
         F.col("_metadata.file_block_start").alias("src_block"),
         F.col("value"),
