@@ -239,8 +239,13 @@ def _drained(stream, spark, name):
     """Run a stream over all there is, into Parquet, and read that back."""
     path = work_folder(spark, name)
     writer = stream.writeStream.format("parquet").option("checkpointLocation", path + "-state")
-    running = writer.trigger(availableNow=True).start(path)
-    running.awaitTermination()
+    # A state store has as many parts as a shuffle, and none are merged later: one a core.
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    try:
+        writer.trigger(availableNow=True).start(path).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
     return spark.read.schema(stream.schema).parquet(path)
 
 

@@ -279,9 +279,9 @@ def scl_15_input_stem(spark, sf):
     """SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS unix_s, epoch_us(ts)::BIGINT AS iso_us, epoch_us(ts)::BIGINT AS iso_zone_us FROM events"""
 )
 def scl_16_timestamps(spark, sf):
-    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    seconds = F.unix_seconds("ts")
-    return a.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select(
+    text = F.col("ts").cast("string")
+    seconds = F.unix_seconds(F.to_timestamp(F.concat(text, F.lit("Z"))))
+    return a.table(spark, sf, "events").select(
         "event_id",
         F.unix_seconds(scalars.unix_to_timestamp(seconds)).alias("unix_s"),
         F.unix_micros(scalars.from_iso(text)).alias("iso_us"),

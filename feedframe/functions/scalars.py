@@ -24,7 +24,6 @@ from feedframe.constants import (
 from feedframe.functions.json import non_empty, truthy
 from feedframe.functions.posts import seconds
 
-_ISO_UTC = "yyyy-MM-dd'T'HH:mm:ssxxx"
 _SHORTCODE = r"/(?:p|reel|tv)/([A-Za-z0-9_-]+)/?"
 
 
@@ -34,8 +33,13 @@ def _literal_map(entries: dict[str, str]) -> Column:
 
 # ---- time ------------------------------------------------------------------
 def iso_utc(ts: Column) -> Column:
-    """ISO text with ``+00:00`` of Unix seconds. Assumes the session zone is UTC."""
-    return F.date_format(F.timestamp_seconds(seconds(ts.cast("string"))), _ISO_UTC)
+    """ISO text with ``+00:00`` of Unix seconds, whatever the session zone."""
+    s = seconds(ts.cast("string"))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(s / 86400).cast("int"))
+    rest = F.pmod(s, F.lit(86400))
+    clock = [F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60]
+    text = F.format_string("%sT%02d:%02d:%02d+00:00", day.cast("string"), *[c.cast("int") for c in clock])
+    return F.when(s.isNotNull(), text)
 
 
 def unix_to_timestamp(ts: Column) -> Column:
@@ -45,7 +49,9 @@ def unix_to_timestamp(ts: Column) -> Column:
 def from_iso(text: Column) -> Column:
     """Timestamp of ISO text read as UTC wall time: a zone suffix is dropped, not applied."""
     wall = r"^(\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?)"
-    return F.try_to_timestamp(non_empty(F.regexp_extract(text, wall, 1)))
+    read = non_empty(F.regexp_extract(text, wall, 1))
+    missing = F.when(F.length(read) == 10, "T00:00:00Z").when(F.length(read) == 16, ":00Z").otherwise("Z")
+    return F.try_to_timestamp(F.concat(read, missing))
 
 
 # ---- post labels -----------------------------------------------------------

@@ -18,7 +18,8 @@ from feedframe.schemas import POST_AUTHOR_SCHEMA
 
 def day_start(date: Column, tz: str = "UTC") -> Column:
     """Unix seconds at which a calendar day begins in a zone."""
-    return F.unix_timestamp(F.to_utc_timestamp(date.cast("date").cast("timestamp"), tz))
+    midnight = F.unix_date(date.cast("date")).cast("bigint") * 86400
+    return F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(midnight), tz))
 
 
 def within_dates(taken_at: Column, start: Column, end: Column, tz: str = "UTC") -> Column:
