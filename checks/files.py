@@ -177,6 +177,16 @@ def snk_7_flatten_to_one_target(spark, sf):
     return spark.read.parquet(target).selectExpr(*_SHORT.split(", "))
 
 
+@query("SELECT count(*) AS written, count(*) AS rows FROM documents")
+def snk_8_flatten_folder(spark, sf):
+    """A folder of result documents, one output per input, into the folder given."""
+    source, target = work_folder(spark, "folder-in"), work_folder(spark, "folder-out")
+    ff.save_runs(_saved(spark, sf), source, file_per_run=True)
+    written = ff.flatten_paths(spark, source, output=target, fmt="jsonl")
+    back = spark.read.schema(ff.FLAT_SCHEMA).json(f"{target}/jsonl")
+    return back.groupBy(F.lit(written).cast("bigint").alias("written")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 # ---- saved runs -------------------------------------------------------------
 def _saved(spark, sf, **kwargs):
     runs = a.post_runs(spark, sf).drop("g")
@@ -310,6 +320,19 @@ def str_5_on_new_posts(spark, sf):
     return spark.read.parquet(own).groupBy("run_id").agg(F.count(F.lit(1)).alias("posts"))
 
 
+@query(a.BODIES_DUCK + f"SELECT page_seq, count(DISTINCT run_id) AS runs, count(*) AS posts FROM ({_ALL_POSTS}) p GROUP BY page_seq")
+def udf_3_batch_callback(spark, sf):
+    """The caller's function gets a DataFrame and may do with it what Spark can."""
+    own = work_folder(spark, "own")
+
+    def per_page(batch, batch_id):
+        batch.groupBy("page_seq", "run_id").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{own}/batch_id={batch_id}")
+
+    posts = ff.stream_posts(_page_stream(spark, sf))
+    ff.write_stream(posts, [ff.on_new_posts(per_page)], work_folder(spark, "own-state"), available_now=True).awaitTermination()
+    return spark.read.parquet(own).groupBy("page_seq").agg(F.count_distinct("run_id").alias("runs"), F.sum("n").alias("posts"))
+
+
 @query(a.STOPS_DUCK + "SELECT run_id, page_seq, iter_index, all_count, streak AS no_progress_streak, sent AS cursor_sent, stop_code FROM kept")
 def str_6_stream_stop(spark, sf):
     pages = a.page_bodies(_stream(spark, sf, "events", a.PAGES_SQL.format(k=a.K_SPARK)))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from feedframe.constants import LINE_EXTENSIONS, OUTPUT_SUFFIXES
+from feedframe.constants import OUTPUT_SUFFIXES
 from feedframe.operators.flatten import flatten_posts
 from feedframe.schemas import FLAT_SCHEMA
 from feedframe.sources.files import is_directory, list_inputs, read_posts
@@ -138,7 +138,3 @@ def export_posts(spark: SparkSession, input_path: str, output: str, resolve: boo
     if fmt == "csv" and flat.isEmpty():
         raise ValueError("No rows to write")
     return write_flat(flat, {fmt: output})
-
-
-def is_lines_name(path: str) -> bool:
-    return path.endswith(LINE_EXTENSIONS)

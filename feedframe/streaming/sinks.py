@@ -20,7 +20,10 @@ BatchSink = Callable[[DataFrame, int], None]
 
 def jsonl_sink(path: str) -> BatchSink:
     """Append the raw posts of each batch. Every batch has its own folder, so the output
-    is valid after each one and a repeated batch replaces itself."""
+    is valid after each one and a repeated batch replaces itself.
+
+    Batches are numbered per checkpoint: a query with a new checkpoint needs a new path.
+    """
     return lambda batch, batch_id: append_jsonl(batch.select("raw"), path, batch_id)
 
 

@@ -138,5 +138,9 @@ def test_hot_id_meets_its_posts_without_being_gathered(spark, raw):
     users = spark.createDataFrame([("r", "H", "77", None, False, None)], "run_id string, username string, id string, pk string, is_private boolean, profile_pic_url string")
     cleaned = ff.postprocess(runs, raw(node(), node(owner="8"), node(taken_at=1)), users)
     assert [r.page_seq for r in cleaned.collect()] == [0]
+    more = [("r", "h", i, None, False, None) for i in ("5", "6", "77", "90")]
+    crowded = users.unionByName(spark.createDataFrame(more, users.schema))
+    rest = ff.postprocess(runs, raw(node(), node(owner="8"), node(owner="6")), crowded)
+    assert sorted(r.page_seq for r in rest.collect()) == [0, 2]
     plan = cleaned._jdf.queryExecution().executedPlan().toString()
     assert "collect_set" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
