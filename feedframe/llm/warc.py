@@ -215,9 +215,10 @@ def loser_tree(runs: list[list], order) -> Iterator:
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge the parts of all runs in one range; they come sorted by run and rank."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    held = [batch for batch in batches if batch.num_rows]
+    if not held:
         return
+    table = pa.Table.from_batches(held)
     paths = table.column("run").to_pylist()
     cuts = [0, *(i for i in range(1, len(paths)) if paths[i] != paths[i - 1]), len(paths)]
     keys = list(zip(*(table.column(n).to_pylist() for n in ("url_key", "captured", "page_id", "offset")), strict=True))
