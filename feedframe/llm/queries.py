@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedframe.llm import chat, exact, leakage, mixing, neardup, quality, ranking, sharding, spans, toxicity, warc
+from feedframe.llm import chat, exact, leakage, mixing, neardup, quality, ranking, sharding, spans, spelling, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -206,3 +206,36 @@ QUALIFY rank <= 20
 @query("op11_ranked_search", _RANK_SQL)
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_SPELLING_SQL = r"""
+WITH RECURSIVE crc_table AS (
+    SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS t
+    FROM range(256) AS r(i)),
+runs AS (SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+    WHERE length(run) >= 6 GROUP BY ALL),
+coded AS (SELECT run, times, list_transform(range(strlen(hex(encode(doc_id::VARCHAR || ':' || run))) // 2),
+    lambda k: ('0x' || substr(hex(encode(doc_id::VARCHAR || ':' || run)), 2 * k + 1, 2))::BIGINT) AS bytes FROM runs),
+hashed AS (SELECT run, times, xor(list_reduce(bytes, lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]), 4294967295), 4294967295) AS h FROM coded, crc_table),
+words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed)
+    WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+cuts AS (SELECT word, n, unnest(range(length(word))) AS i FROM words),
+masked AS (SELECT word, n, i, left(word, i) AS a, substr(word, i + 2) AS b, left(word, i) || substr(word, i + 2) AS shorter FROM cuts),
+near AS (SELECT x.word, y.word AS near, y.n AS near_n FROM masked x JOIN masked y ON x.i = y.i AND x.a = y.a AND x.b = y.b WHERE x.word <> y.word
+    UNION SELECT m.word, w.word, w.n FROM masked m JOIN words w ON m.shorter = w.word
+    UNION SELECT w.word, m.word, m.n FROM masked m JOIN words w ON m.shorter = w.word),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS top_n, arg_min(near, (-near_n, near)) AS top FROM near GROUP BY word),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 5 * n THEN top END AS form, CASE WHEN top_n >= 5 * n THEN top_n END AS form_n
+          FROM words LEFT JOIN best USING (word)),
+steps AS (SELECT word, word AS at FROM forms UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON s.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, s.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM forms f JOIN steps s ON s.word = f.word JOIN forms l ON l.word = s.at WHERE l.form IS NULL
+"""
+
+
+@query("op12_spelling_variants", _SPELLING_SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants in the documents' words, of which about one in 199 occurrences has lost a letter."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), drop_every=199)

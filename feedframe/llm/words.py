@@ -201,27 +201,29 @@ def unsigned(column: pa.Array) -> np.ndarray:
 
 
 class KeyFilter:
-    """A set of 64-bit keys as one bitmap of fixed size: no key is missed, others pass at times.
+    """A set of 64-bit keys as one bitmap: no key is missed, others pass at times.
 
     It saves a shuffle for rows that cannot have a partner. The join behind it decides, so
-    a full bitmap costs time and changes no result.
+    a full bitmap costs time and changes no result. The bitmap has about ``SPACE`` bits
+    for a key, from 2**LEAST to 2**MOST bits (8 kB to 16 MB).
     """
 
-    BITS = 23
+    LEAST, MOST, SPACE = 16, 27, 16
 
     def __init__(self, keys: DataFrame, column: str):
         # Spark's bitmaps have 2**15 bits; value v + 1 is bit v % 2**15 of bucket v / 2**15 + 1.
-        bit = F.expr(f"shiftrightunsigned({column}, {64 - self.BITS}) + 1")
+        self.bits = max(self.LEAST, min(self.MOST, (keys.count() * self.SPACE).bit_length()))
+        bit = F.expr(f"shiftrightunsigned({column}, {64 - self.bits}) + 1")
         parts = keys.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-        found = np.zeros((1 << self.BITS) // 8, dtype=np.uint8)
-        for row in parts.collect():  # at most 2**8 rows of 4 kB
+        found = np.zeros((1 << self.bits) // 8, dtype=np.uint8)
+        for row in parts.collect():  # 2**12 rows of 4 kB at most
             begin = (row.part - 1) * 4096
             found[begin : begin + 4096] |= np.frombuffer(row.bits, dtype=np.uint8)
         self.shared = keys.sparkSession.sparkContext.broadcast(found)
 
     def tester(self):
         """A function from an array of hashes to flags, for use in tasks."""
-        shared, bits = self.shared, self.BITS
+        shared, bits = self.shared, self.bits
 
         def test(hashes: np.ndarray) -> np.ndarray:
             at = hashes.view(np.uint64) >> np.uint64(64 - bits)
