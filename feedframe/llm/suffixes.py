@@ -200,8 +200,11 @@ def sort_windows(table: pa.Table, window: int, digit: int = DIGIT) -> pa.Table:
     data, offsets = buffers(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
     ids, keys, begins = (table.column(n).to_numpy() for n in ("doc_id", "key", "begin"))
     counts = np.diff(offsets) - window + 1
+    order = np.lexsort((begins, keys, ids))
+    later = np.zeros(len(ids), dtype=np.int64)  # rows of one place, from rows that are equal, have one rank
+    later[1:] = (ids[order][1:] != ids[order][:-1]) | (keys[order][1:] != keys[order][:-1]) | (begins[order][1:] != begins[order][:-1])
     rank = np.empty(len(ids), dtype=np.int64)
-    rank[np.lexsort((begins, keys, ids))] = np.arange(len(ids))
+    rank[order] = np.cumsum(later)
     row = np.repeat(np.arange(len(ids)), counts)
     at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + offsets[row]
     up, down = _power_tables(len(data) + 1)

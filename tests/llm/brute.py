@@ -127,3 +127,83 @@ def captures(pages):
         digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
         out[page] = len(raw), digest, "response" if page == keep else "revisit", None if page == keep else keep
     return out
+
+
+def ranking(docs, items, top=20):
+    """[(item_id, rank, doc_id, score)] of (doc_id, text) rows for (item_id, text) rows."""
+    import math
+    from collections import Counter
+
+    counts = [Counter(ALNUM.findall(lowered(t))) for _, t in docs]
+    n_docs, n_words = sum(bool(c) for c in counts), sum(sum(c.values()) for c in counts)
+    df = Counter(t for c in counts for t in c)
+    asked = defaultdict(list)
+    for item, text in items:
+        asked[item] += ALNUM.findall(lowered(text))
+    out = []
+    for item, terms in asked.items():
+        scored = []
+        for (doc, _), c in zip(docs, counts, strict=True):
+            score = 0
+            for t in terms:
+                if c[t]:
+                    m = 100 - 25 + (25 * sum(c.values()) * n_docs) // n_words
+                    score += math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((1000000000 * c[t]) // (1000 * c[t] + 12 * m))
+            if score > 0:
+                scored.append((-score, doc is None, doc or 0, doc))
+        out += [(item, k + 1, s[3], -s[0]) for k, s in enumerate(sorted(scored)[:top])]
+    return out
+
+
+def variants(docs, drop_every=None, least_length=6, least_count=5, ratio=5):
+    """[(word, form, root, n, n_near, form_n)], by all pairs of words."""
+    import zlib
+    from collections import Counter
+
+    counts = Counter()
+    for doc, text in docs:
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", text or ""):
+            run = lowered(run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if drop_every and h % drop_every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= least_length and n >= least_count}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    met = {w: [v for v in words if near(w, v)] for w in words}
+    form = {}
+    for w in words:
+        best = min(met[w], key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= ratio * words[w] else None
+    out = []
+    for w, n in words.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n, len(met[w]), words.get(form[w])))
+    return out
+
+
+def byte_repeats(docs, window=100):
+    """[(doc_id, n_bytes, n_removed, n_spans, kept_sha256)]; rows of one id are documents in the order given."""
+    rows = [(doc, (text or "").encode()) for doc, text in docs]
+    order = sorted((r for r in range(len(rows)) if rows[r][0] is not None), key=lambda r: (rows[r][0], r))
+    seen, gone = set(), {r: set() for r in range(len(rows))}
+    for r in order:
+        raw = rows[r][1]
+        for i in range(len(raw) - window + 1):
+            if raw[i : i + window] in seen:
+                gone[r].update(range(i, i + window))
+            seen.add(raw[i : i + window])
+    out = []
+    for r, (doc, raw) in enumerate(rows):
+        kept = bytes(b for i, b in enumerate(raw) if i not in gone[r])
+        runs = sum(1 for i in gone[r] if i - 1 not in gone[r])
+        out.append((doc, len(raw), len(gone[r]), runs, hashlib.sha256(kept).hexdigest()))
+    return out
