@@ -18,6 +18,7 @@ API_PREFIXES = (
 )
 API_RESOURCE_TYPE = "xhr"
 
+# Keys of payloads and names of node types.
 HOME_FEED_KEY = "xdt_api__v1__feed__timeline__connection"
 USER_FEED_KEY = "xdt_api__v1__feed__user_timeline_graphql_connection"
 SHORTCODE_KEY = "xdt_api__v1__media__shortcode__web_info"
@@ -42,6 +43,7 @@ RATE_LIMIT_PHRASES = (
 )
 
 # ---- requests and runs -----------------------------------------------------
+# What each endpoint has to be asked with.
 REQUIRED_QUERY_KEYS = {
     "UserTimeline": ("handle", "start_date", "end_date"),
     "UserProfile": ("handle",),
@@ -50,6 +52,7 @@ REQUIRED_QUERY_KEYS = {
     "Search": ("keyword",),
 }
 
+# Result codes.
 RELOAD = "something went wrong - reload"
 END_OF_FEED = "scraped until first ever post was reached"
 REACHED_START = "scraped until user-specified starting date was reached"
@@ -60,6 +63,8 @@ NO_POSTS = "no posts"
 PRIVATE = "account is private"
 UNAVAILABLE = "profile is not available"
 FAILED_TO_LOAD = "failed to load"
+TIMEOUT = "timeout error"
+LOGGED_OUT = "logged out while scraping"
 
 # Result code -> category.
 RESULT_CATEGORIES = {
@@ -71,20 +76,22 @@ RESULT_CATEGORIES = {
     UNAVAILABLE: "success",
     MAX_PAGES: "success",
     "bad internet": "retry",
-    "timeout error": "retry",
+    TIMEOUT: "retry",
     RELOAD: "retry",
     FAILED_TO_LOAD: "retry",
     "target crashed": "crash",
-    "logged out while scraping": "crash",
+    LOGGED_OUT: "crash",
     SHAPE_ERROR: "partial",
 }
 # Success codes of a timeline run that carries no posts to filter.
 EMPTY_TIMELINE_CODES = (NO_POSTS, PRIVATE, UNAVAILABLE)
 
+# Limits of a paging.
 NO_PROGRESS_LIMIT = 5
 PAGE_CAPS = {"UserTimeline": 5000, "Search": 2000}
 
 # ---- files -----------------------------------------------------------------
+# Extensions.
 DOCUMENT_EXTENSIONS = (".json", ".json.gz")
 LINE_EXTENSIONS = (".jsonl", ".jsonl.gz", ".ndjson", ".ndjson.gz")
 INPUT_EXTENSIONS = DOCUMENT_EXTENSIONS + LINE_EXTENSIONS
@@ -93,6 +100,7 @@ OUTPUT_SUFFIXES = {"csv": ".csv", "jsonl": ".jsonl", "parquet": ".parquet"}
 IMAGE_EXTENSIONS = (".jpg", ".png", ".heic", ".webp")
 
 # ---- stored page text ------------------------------------------------------
+# Phrases of visited pages.
 TEXT_UNAVAILABLE = "Profile isn't available"
 TEXT_SORRY = "Sorry, this page isn't available"
 TEXT_PRIVATE = ("This account is private", "account is private")

@@ -21,7 +21,7 @@ from feedframe.functions.posts import post_timestamp
 from feedframe.functions.walk import key_walker, page_info_walker
 from feedframe.operators.filters import is_rate_limited
 from feedframe.operators.routing import has_post_connection
-from feedframe.operators.running import CHUNK_WIDTH, running
+from feedframe.operators.running import running
 from feedframe.sources.responses import error_text, payload_texts
 
 # ---- cursors ---------------------------------------------------------------
@@ -98,15 +98,17 @@ def cursor_kind(variables: Column, form: Column) -> Column:
 
 
 # ---- page facts and states -------------------------------------------------
-def page_facts(parsed: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def page_facts(parsed: DataFrame, carry: tuple[str, ...] = (), cursors=None) -> DataFrame:
     """What each page says by itself: cursor, error text, connection, throttling.
 
     ``parsed`` has ``payloads`` and ``errors``; an optional ``transport_error`` counts
     first. Bodies are not carried on; ``carry`` names further columns that are.
+    ``cursors`` adds ``end_cursor`` and ``has_next_page``; it is ``page_info`` unless a
+    caller has another way to read them.
     """
     transport = F.col("transport_error") if "transport_error" in parsed.columns else None
     extra = [c for c in ("endpoint", "start_unix") if c in parsed.columns] + list(carry)
-    return page_info(parsed).select(
+    return (cursors or page_info)(parsed).select(
         "run_id",
         "page_seq",
         "cursor_sent",
@@ -137,22 +139,27 @@ def with_page_stats(facts: DataFrame, stats: DataFrame) -> DataFrame:
     return facts.join(stats, ["run_id", "page_seq"], "left").fillna(0, ["new_count", "timestamped_count"])
 
 
-def page_state(pages: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
+def page_state(pages: DataFrame) -> DataFrame:
     """State after each page, as the stop rules see it.
 
     Needs ``new_count`` and ``end_cursor`` per page. Adds ``iter_index``, ``all_count``
     and ``no_progress_streak``; ``cursor_sent`` becomes the cursor of the page before,
     except on a run's first page, which keeps the logged one.
+
+    Where a column ``paging`` says so, a page is a visit's: its posts count in
+    ``all_count`` of the pages after it, and it has no state, so it does not come out.
     """
+    paging = F.col("paging") if "paging" in pages.columns else None
     state = running(
         pages.withColumnRenamed("cursor_sent", "_logged"),
         sums={"all_count": F.col("new_count")},
         previous={"_previous": F.col("end_cursor")},
         since={"no_progress_streak": F.col("new_count") > 0},
-        width=width,
+        counted=paging,
     )
     sent = F.when(F.col("iter_index") == 0, F.col("_logged")).otherwise(F.col("_previous"))
-    return state.withColumn("cursor_sent", sent).drop("_logged", "_previous")
+    state = state.withColumn("cursor_sent", sent).drop("_logged", "_previous")
+    return state if paging is None else state.where("paging").drop("paging")
 
 
 # ---- stop rules ------------------------------------------------------------
@@ -183,20 +190,27 @@ def stop_older_than_start() -> Column:
     return _code(F.col("cursor_sent").isNotNull() & older, REACHED_START)
 
 
-def stop_no_progress(limit: int = NO_PROGRESS_LIMIT) -> Column:
-    return _code(F.lit(bool(limit)) & (F.col("no_progress_streak") >= limit), END_OF_FEED)
+def _number(limit: int | Column) -> Column:
+    return limit if isinstance(limit, Column) else F.lit(limit)
+
 
+def stop_no_progress(limit: int | Column = NO_PROGRESS_LIMIT) -> Column:
+    limit = _number(limit)
+    return _code((limit != 0) & (F.col("no_progress_streak") >= limit), END_OF_FEED)
 
-def stop_post_cap(cap: int = -1) -> Column:
-    return _code(F.lit(cap > 0) & (F.col("all_count") >= cap), SUCCESS)
+
+def stop_post_cap(cap: int | Column = -1) -> Column:
+    cap = _number(cap)
+    return _code((cap > 0) & (F.col("all_count") >= cap), SUCCESS)
 
 
 def stop_shape_error() -> Column:
     return _code((F.col("new_count") > 0) & (F.col("timestamped_count") == 0), SHAPE_ERROR)
 
 
-def stop_page_cap(cap: int = -1) -> Column:
-    return _code(F.lit(cap > 0) & (F.col("iter_index") >= cap), MAX_PAGES)
+def stop_page_cap(cap: int | Column = -1) -> Column:
+    cap = _number(cap)
+    return _code((cap > 0) & (F.col("iter_index") >= cap), MAX_PAGES)
 
 
 def default_stop_rules(
@@ -228,18 +242,60 @@ def stop_rule(rules: list[tuple[str, Column]]) -> Column:
     return F.coalesce(*[F.when(rule.isNotNull(), name) for name, rule in rules], F.lit(None).cast("string"))
 
 
-def with_stop_code(states: DataFrame, **caps) -> DataFrame:
-    """Add ``stop_code`` by the default rules of each run's ``endpoint``."""
-    search = stop_code(default_stop_rules("Search", **caps))
-    timeline = stop_code(default_stop_rules("UserTimeline", **caps))
-    return states.withColumn("stop_code", F.when(F.col("endpoint") == "Search", search).otherwise(timeline))
+#: Which rules end the paging of an endpoint, and its limits. Endpoints that do not page
+#: have no row here: nothing ends or cuts their log.
+END_RULES = {
+    "UserTimeline": {"by_date": True, "by_shape": True, "page_cap": PAGE_CAPS["UserTimeline"]},
+    "Search": {"by_date": False, "by_shape": False, "page_cap": PAGE_CAPS["Search"]},
+}
+_LIMITS = "endpoint string, by_date boolean, by_shape boolean, no_progress_limit bigint, post_cap bigint, page_cap bigint"
+
+
+def end_rules(spark, post_cap: int = -1, page_cap: int | None = None, no_progress: int = NO_PROGRESS_LIMIT) -> DataFrame:
+    """The end rules of the paging endpoints as a table of one row each."""
+    rows = [(name, r["by_date"], r["by_shape"], no_progress, post_cap, r["page_cap"] if page_cap is None else page_cap) for name, r in END_RULES.items()]
+    return spark.createDataFrame(rows, _LIMITS)
+
+
+def rules_of_run() -> list[tuple[str, Column]]:
+    """The ordered rules, by the limits that a run's row of ``end_rules`` put beside its pages."""
+    return [
+        ("unusable_error", stop_unusable_error()),
+        ("end_of_feed", stop_end_of_feed()),
+        ("older_than_start", F.when(F.col("by_date"), stop_older_than_start())),
+        ("no_progress", stop_no_progress(F.col("no_progress_limit"))),
+        ("post_cap", stop_post_cap(F.col("post_cap"))),
+        ("shape_error", F.when(F.col("by_shape"), stop_shape_error())),
+        ("page_cap", stop_page_cap(F.col("page_cap"))),
+    ]
+
+
+def with_stop_code(states: DataFrame, rules: dict[str, list[tuple[str, Column]]] | None = None, **caps) -> DataFrame:
+    """Add ``stop_code`` by the rules of each run's ``endpoint``.
+
+    ``rules`` replaces the ordered rules of an endpoint by a caller's, which may be any
+    columns of the page states. Limits are those of ``end_rules``; a state that has
+    limits of its own run (``post_cap`` and the like) keeps them. Pages of an endpoint that
+    has no rules have no code.
+    """
+    limits = [c for c in ("by_date", "by_shape", "no_progress_limit", "post_cap", "page_cap") if c in states.columns]
+    known = states if limits else states.join(end_rules(states.sparkSession, **caps), "endpoint", "left")
+    code = F.when(F.col("page_cap").isNotNull(), stop_code(rules_of_run()))
+    for endpoint, own in (rules or {}).items():
+        code = F.when(F.col("endpoint") == endpoint, stop_code(own)).otherwise(code)
+    return known.withColumn("stop_code", code).select(*states.columns, "stop_code")
+
+
+def first_stops(states: DataFrame) -> DataFrame:
+    """``run_id, stop_seq, stop_code`` of each run that stopped: a row per run, combined before the shuffle."""
+    stopped = states.where(F.col("stop_code").isNotNull())
+    return stopped.groupBy("run_id").agg(F.min("page_seq").alias("stop_seq"), F.min_by("stop_code", "page_seq").alias("stop_code"))
 
 
-def truncate_at_stop(states: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
+def truncate_at_stop(states: DataFrame) -> DataFrame:
     """Pages of each run up to and including the first with a ``stop_code``."""
-    stopped = F.col("stop_code").isNotNull().cast("bigint")
-    counted = running(states, index="_index", sums={"_stops": stopped}, width=width)
-    return counted.where(F.col("_stops") - stopped == 0).drop("_index", "_stops")
+    stops = first_stops(states).select("run_id", "stop_seq")
+    return states.join(stops, "run_id", "left").where(F.col("stop_seq").isNull() | (F.col("page_seq") <= F.col("stop_seq"))).drop("stop_seq")
 
 
 def run_results(truncated: DataFrame) -> DataFrame:

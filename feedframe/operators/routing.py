@@ -160,6 +160,6 @@ def with_nodes(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("posts", _gathered(post_nodes)).withColumn("users", _gathered(user_nodes))
 
 
-def node_rows(stored: DataFrame, field: str) -> DataFrame:
-    """Rows of one of the arrays of ``with_nodes``."""
-    return exploded(stored, F.col(field), "_node").select("run_id", "page_seq", "_node.*")
+def node_rows(stored: DataFrame, field: str, *carry: str) -> DataFrame:
+    """Rows of one of the arrays of ``with_nodes``; ``carry`` names columns of the page that go along."""
+    return exploded(stored, F.col(field), "_node").select("run_id", "page_seq", *carry, "_node.*")

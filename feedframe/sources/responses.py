@@ -54,7 +54,7 @@ def payload_texts(body: Column) -> Column:
 
 
 def parse_responses(pages: DataFrame) -> DataFrame:
-    """Add ``payloads`` (the ``data`` objects) and ``errors`` of each body.
+    """Add ``payloads`` (the ``data`` objects), ``errors``, and ``single``: whether the body is one JSON value.
 
     A body is one JSON value or JSON lines; unreadable lines and values that are no
     objects are skipped. A ``status`` of ``fail`` adds an error of its own.
@@ -70,6 +70,7 @@ def parse_responses(pages: DataFrame) -> DataFrame:
         objects,
         payloads=F.coalesce(payloads, F.array().cast("array<variant>")),
         errors=F.coalesce(errors, F.array().cast(_ERROR)).cast(_ERROR),
+        single=F.coalesce(F.size("_read") == 1, F.lit(False)),
     ).drop("_read", "_objects")
 
 

@@ -180,22 +180,33 @@ def test_default_rules(spark):
     assert search == ["unusable_error", "end_of_feed", "no_progress", "post_cap", "page_cap"]
 
 
-@pytest.mark.parametrize("width", [1, 3, 1000])
-def test_running_values_do_not_depend_on_the_chunks(spark, width):
+@pytest.mark.parametrize("parts", [1, 7, 40])
+@pytest.mark.parametrize("step", [1, 10**12])
+def test_running_values_do_not_depend_on_the_chunks(spark, parts, step):
     import random
 
-    rng = random.Random(width)
-    rows = [("hot", s, rng.choice([0, 0, 2]), f"c{s}") for s in rng.sample(range(200), 60)] + [("b", 5, 0, None), ("b", 900, 1, "x")]
-    frame = spark.createDataFrame(rows, "run_id string, page_seq bigint, n bigint, c string").repartition(3)
-    got = running(frame, sums={"total": F.col("n")}, previous={"before": F.col("c")}, since={"streak": F.col("n") > 0}, width=width)
-    expected = set()
-    for run in ("hot", "b"):
-        total, before, streak = 0, None, 0
-        for i, (_, seq, n, c) in enumerate(sorted(r for r in rows if r[0] == run)):
-            total, streak = total + n, 0 if n else streak + 1
-            expected.add((run, seq, i, total, before, streak))
-            before = c
-    assert {(r.run_id, r.page_seq, r.iter_index, r.total, r.before, r.streak) for r in got.collect()} == expected
+    rng = random.Random(parts)
+    rows = [("hot", s * step, rng.choice([0, 0, 2]), rng.choice([None, f"c{s}"]), rng.random() < 0.7) for s in rng.sample(range(200), 60)]
+    rows += [("b", 5, 0, None, True), ("b", 900, 1, "x", True), ("only visits", 1, 3, "v", False), (None, 1, 1, "n", True), (None, 2, 0, "m", True)]
+    frame = spark.createDataFrame(rows, "run_id string, page_seq bigint, n bigint, c string, p boolean").repartition(3)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        for mark in (None, F.col("p")):
+            got = running(frame, sums={"total": F.col("n")}, previous={"before": F.col("c")}, since={"streak": F.col("n") > 0}, counted=mark)
+            expected = set()
+            for run in ("hot", "b", "only visits", None):
+                total, last, streak, i = 0, None, 0, -1
+                for _, seq, n, c, p in sorted((r for r in rows if r[0] == run), key=lambda r: r[1]):
+                    total, seen = total + n, last
+                    if mark is None or p:
+                        streak, i, last = 0 if n else streak + 1, i + 1, c
+                    expected.add((run, seq, i, total, seen, streak))
+            assert {(r.run_id, r.page_seq, r.iter_index, r.total, r.before, r.streak) for r in got.collect()} == expected
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_rebuild_runs_end_to_end(spark, logged):
@@ -217,6 +228,91 @@ def test_rebuild_runs_end_to_end(spark, logged):
     assert sorted(r.post_id for r in found.posts.collect()) == ["1", "2"]
 
 
+REQUEST = "run_id string, endpoint string, query map<string,string>"
+
+
+def xhr(pages):
+    return pages.withColumn("url", F.lit("https://www.instagram.com/api/graphql")).withColumn("resource_type", F.lit("xhr"))
+
+
+def rebuilt(spark, logged, endpoint, query, *bodies, visit=None, **options):
+    """``(result, post ids, usernames, pages)`` of one run."""
+    visits = None if visit is None else spark.createDataFrame([("r", *visit)], "run_id string, text string, on_target boolean")
+    found = ff.rebuild_runs(xhr(logged(*bodies)), spark.createDataFrame([("r", endpoint, query)], REQUEST), visits=visits, **options)
+    users = ff.typed_users(found.users)
+    return (
+        found.runs.first().result,
+        sorted(r.post_id for r in found.posts.collect()),
+        sorted(r.username for r in users.collect()),
+        sorted(r.page_seq for r in found.pages.collect()),
+    )
+
+
+PROFILE = {"data": {"user": {"username": "h", "id": "77", "pk": "77"}}}
+SIDE = {"data": {"highlights": {"edges": []}}}
+
+
+def test_rebuild_of_single_shot_runs(spark, logged):
+    handle = {"handle": "h"}
+    suggested = {"data": {"xdt_api__v1__discover__chaining": {"users": [{"username": "friend"}]}}}
+    # The profile response first: what it holds does not end the run, and the recommended user stays.
+    assert rebuilt(spark, logged, "Chaining", handle, SIDE, PROFILE, suggested) == ("success", [], ["friend", "h"], [])
+    assert rebuilt(spark, logged, "Chaining", handle, SIDE)[0] == "timeout error"
+    assert rebuilt(spark, logged, "UserProfile", handle, SIDE, PROFILE) == ("success", [], ["h"], [])
+    assert rebuilt(spark, logged, "UserProfile", handle, PROFILE, visit=("x", False))[0] == "logged out while scraping"
+    assert rebuilt(spark, logged, "UserProfile", handle, visit=("Profile isn't available", True))[0] == "profile is not available"
+    shown = {"data": {"xdt_api__v1__media__shortcode__web_info": {"items": [{"pk": "5"}]}}}
+    assert rebuilt(spark, logged, "PostByShortcode", {"shortcode": "s"}, SIDE, shown) == ("success", ["5"], [], [])
+    assert rebuilt(spark, logged, "PostByShortcode", {"shortcode": "s"}, SIDE)[0] == "timeout error"
+    assert rebuilt(spark, logged, "Elsewhere", {}, shown) == (None, ["5"], [], [])
+    # A visit's response counts as one JSON value only.
+    assert rebuilt(spark, logged, "UserProfile", handle, json.dumps(SIDE) + "\n" + json.dumps(PROFILE))[0] == "timeout error"
+
+
+def test_rebuild_of_a_timeline_with_visit_responses(spark, logged):
+    query = {"handle": "h", "start_date": "2023-11-01", "end_date": "2023-11-30"}
+    own = {"taken_at": 1700000000, "owner_id": "77"}
+    pages = [PROFILE, feed(media("1", **own), cursor="A"), SIDE, feed(media("1", **own), cursor="B"), PROFILE, feed(media("2", **own), cursor=None, more=False), feed(media("3", **own), cursor="C")]
+    done = "scraped until first ever post was reached"
+    assert rebuilt(spark, logged, "UserTimeline", query, *pages) == (done, ["1", "2"], ["h", "h"], [1, 3, 5])
+    # Gates come before paging.
+    assert rebuilt(spark, logged, "UserTimeline", query, *pages, visit=("This account is private", True)) == ("account is private", [], ["h", "h"], [])
+    assert rebuilt(spark, logged, "UserTimeline", query, SIDE)[0] == "timeout error"
+    assert rebuilt(spark, logged, "UserTimeline", query, {"data": {"user": {"username": "H", "is_private": True}}})[0] == "account is private"
+    assert rebuilt(spark, logged, "UserTimeline", query, SIDE, visit=("No Posts Yet", True))[0] == "no posts"
+    # A log that tells pages from visits itself: the first feed was the visit's.
+    told = xhr(logged(*pages)).withColumn("paging", F.col("page_seq").isin(3, 5))
+    found = ff.rebuild_runs(told, spark.createDataFrame([("r", "UserTimeline", query)], REQUEST))
+    assert [(r.page_seq, r.new_count, r.all_count, r.no_progress_streak) for r in found.pages.orderBy("page_seq").collect()] == [(3, 0, 1, 1), (5, 1, 2, 0)]
+    # The caller's rules and cursors.
+    by_place = lambda parsed: parsed.withColumn("end_cursor", F.col("page_seq").cast("string")).withColumn("has_next_page", F.lit(True))
+    own_rules = {"UserTimeline": [("third", F.when(F.col("iter_index") == 2, "third page"))]}
+    assert rebuilt(spark, logged, "UserTimeline", query, *pages, cursors=by_place, rules=own_rules)[0] == "third page"
+
+
+def test_rebuild_of_a_search(spark, logged):
+    def serp(*ids, cursor):
+        grid = {"__typename": "XDTTopSerpMediaGridUnit", "items": [{"__typename": "XDTMediaDict", "pk": i} for i in ids]}
+        return {"data": {"xdt_fbsearch__top_serp_graphql": {"edges": [{"node": grid}], "page_info": {"end_cursor": cursor, "has_next_page": True}}}}
+
+    pages = [SIDE, serp("1", "2", cursor="A"), PROFILE, serp("3", cursor="B"), serp("4", cursor="C")]
+    assert rebuilt(spark, logged, "Search", {"keyword": "k", "max_posts": "3"}, *pages) == ("success", ["1", "2", "3"], ["h"], [1, 3])
+    assert rebuilt(spark, logged, "Search", {"keyword": "k", "max_posts": "-1"}, *pages) == (None, ["1", "2", "3", "4"], ["h"], [1, 3, 4])
+    assert rebuilt(spark, logged, "Search", {"keyword": "k"}, SIDE)[0] == "no posts"
+
+
+def test_rebuild_by_v1_cursors(spark, logged):
+    def page(post, cursor):
+        return {"data": {"xdt_api__v1__feed__user_timeline_graphql_connection": {"edges": [{"node": {"__typename": "XDTMediaDict", "pk": post, "taken_at": 1}}]}, "x": [{"next_max_id": cursor}]}}
+
+    pages = xhr(logged(page("1", "m1"), page("2", "m2"), page("3", None), page("4", "m4")))
+    asked = [("r", "UserTimeline", {"handle": "h"}, {}, {"max_id": "0"})]
+    requests = spark.createDataFrame(asked, REQUEST + ", variables map<string,string>, form map<string,string>")
+    found = ff.rebuild_runs(pages, requests)
+    assert [(r.page_seq, r.cursor_sent, r.end_cursor) for r in found.pages.orderBy("page_seq").collect()] == [(0, None, "m1"), (1, "m1", "m2"), (2, "m2", None)]
+    assert found.runs.first().result == "scraped until first ever post was reached"
+
+
 def test_validate_requests(spark):
     rows = [("UserTimeline", {"handle": "a", "start_date": "x", "end_date": "y"}), ("Search", {}), ("Nope", {}), ("Chaining", None)]
     frame = spark.createDataFrame(rows, "endpoint string, query map<string,string>")

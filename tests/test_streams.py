@@ -55,8 +55,8 @@ def test_stop_over_batches_matches_the_batch_form(spark, tmp_path):
     frame = spark.createDataFrame(pages, ff.PAGE_SCHEMA).withColumn("endpoint", F.lit("UserTimeline")).withColumn("start_unix", F.lit(0).cast("bigint"))
     parsed = ff.parse_responses(frame)
     new = ff.dedup_posts(ff.route_posts(ff.payload_rows(parsed)))
-    states = ff.with_stop_code(ff.page_state(ff.with_page_stats(ff.page_facts(parsed), ff.page_stats(new)), width=2))
-    batch = [(r.page_seq, r.iter_index, r.all_count, r.cursor_sent, r.no_progress_streak, r.stop_code) for r in ff.truncate_at_stop(states, width=2).orderBy("page_seq").collect()]
+    states = ff.with_stop_code(ff.page_state(ff.with_page_stats(ff.page_facts(parsed), ff.page_stats(new))))
+    batch = [(r.page_seq, r.iter_index, r.all_count, r.cursor_sent, r.no_progress_streak, r.stop_code) for r in ff.truncate_at_stop(states).orderBy("page_seq").collect()]
     assert batch == rows
 
 
