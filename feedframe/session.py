@@ -52,4 +52,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def release(*stored: DataFrame | None) -> None:
+    """Delete the files of tables that ``materialize`` wrote.
+
+    Only for tables that nothing still to be computed reads: all that came of them has been
+    written or collected.
+    """
+    for df in stored:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
