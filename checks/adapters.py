@@ -377,11 +377,11 @@ def _post(id_: Column, taken_at: Column) -> Column:
     return jo(__typename='"XDTMediaDict"', pk=js(id_.cast("string")), taken_at=jn(taken_at), clips_stream=deep)
 
 
-def page_bodies(e: DataFrame) -> DataFrame:
+def page_bodies(e: DataFrame, post=_post) -> DataFrame:
     """A2 page log with bodies, out of the derived columns (batch or stream)."""
     c = F.col
     info = jo(end_cursor=js(c("end_cursor")), has_next_page=jn(c("has_next")))
-    nodes = [_post(c("id0"), c("taken_at")), _post(c("id1"), c("taken_at"))]
+    nodes = [post(c("id0"), c("taken_at")), post(c("id1"), c("taken_at"))]
     feed_edges = F.when(c("id0").isNull(), F.lit("[]")).otherwise(ja(*[jkey("node", n) for n in nodes]))
     feed = jkey(FEED, nulled(~c("connected"), jo(edges=feed_edges, page_info=info)))
     grid = jkey("node", jo(__typename='"XDTTopSerpMediaGridUnit"', items=F.when(c("id0").isNull(), F.lit("[]")).otherwise(ja(*nodes))))

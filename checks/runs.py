@@ -168,8 +168,8 @@ def _v1_pages(spark, sf):
 
 @query(a.BODIES_DUCK + "SELECT run_id, page_seq, CASE WHEN form <> 3 THEN key END AS cursor FROM b")
 def pag_2_deep_first(spark, sf):
-    found = paging.deep_first(F.col("payloads"), F.col("body"), "next_max_id")
-    return _v1_pages(spark, sf).select("run_id", "page_seq", F.try_variant_get(found, "$", "string").alias("cursor"))
+    found = paging.deep_first(_v1_pages(spark, sf), "next_max_id")
+    return found.select("run_id", "page_seq", F.try_variant_get("deep_next_max_id", "$", "string").alias("cursor"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +20,11 @@ from feedframe.constants import (
 from feedframe.functions.once import computed
 from feedframe.functions.json import child, counts, has_value, is_object, text_at
 from feedframe.functions.posts import post_timestamp
-from feedframe.functions.walk import key_walker, page_info_walker
+from feedframe.functions.walk import last_branch_first, shallowest
 from feedframe.operators.filters import is_rate_limited
 from feedframe.operators.routing import has_post_connection
 from feedframe.operators.running import running
-from feedframe.sources.responses import error_text, payload_texts
+from feedframe.sources.responses import error_text, payload_nodes
 
 # ---- cursors ---------------------------------------------------------------
 def _is_page_info(info: Column) -> Column:
@@ -30,17 +32,12 @@ def _is_page_info(info: Column) -> Column:
     return F.coalesce(is_object(info) & keyed, F.lit(False))
 
 
-def _json_array(texts: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
-
-
 def page_info(parsed: DataFrame) -> DataFrame:
     """Add ``end_cursor, has_next_page`` of the shallowest ``page_info`` of each page.
 
     A page with one payload that holds its page info at the top, or under exactly one of
     its keys, is settled by path. Others (several payloads, deeper or equal places) are
-    walked level by level, over Arrow batches, in the order of the ``body``; settled rows
-    hand that step nothing.
+    searched level by level in the order of the ``body``.
     """
     payload = F.when(F.size("payloads") == 1, F.get("payloads", F.lit(0)))
     under = F.transform(
@@ -50,44 +47,42 @@ def page_info(parsed: DataFrame) -> DataFrame:
     known = F.when(_is_page_info(F.col("_top")), F.col("_top")).when(
         F.size("_under") == 1, F.get("_under", F.lit(0))
     )
-    unknown = (F.size("payloads") > 0) & F.col("_info").isNull()
-    walked = F.when(unknown, _json_array(payload_texts(F.col("body"))))
-    settled = (
-        computed(places, _info=known)
-        .withColumn("_deep", page_info_walker()(walked))
-        .withColumn("end_cursor", F.coalesce(text_at(F.col("_info"), "$.end_cursor"), F.col("_deep.end_cursor")))
-        .withColumn(
-            "has_next_page",
-            F.when(F.col("_info").isNotNull(), counts(child(F.col("_info"), "$.has_next_page"))).otherwise(
-                F.coalesce(F.col("_deep.has_next_page"), F.lit(False))
-            ),
-        )
+    unknown = (F.size("payloads") > 0) & F.col("_known").isNull()
+    searched = computed(computed(places, _known=known), _nodes=F.when(unknown, payload_nodes(F.col("body"))))
+    found = shallowest(F.col("_nodes").isNotNull(), F.coalesce("_nodes", F.array()), "$.page_info", _is_page_info)
+    settled = computed(searched, _info=F.coalesce("_known", found))
+    return (
+        settled.withColumn("end_cursor", text_at(F.col("_info"), "$.end_cursor"))
+        .withColumn("has_next_page", F.coalesce(counts(child(F.col("_info"), "$.has_next_page")), F.lit(False)))
+        .drop("_top", "_under", "_known", "_nodes", "_info")
     )
-    return settled.drop("_top", "_under", "_info", "_deep")
 
 
-def deep_first(payloads: Column, body: Column, key: str) -> Column:
-    """VARIANT under ``key`` anywhere in the payloads of a body, last payload first.
+def deep_first(parsed: DataFrame, *keys: str) -> DataFrame:
+    """Add a VARIANT ``deep_<key>`` for each key: its value anywhere in the payloads.
 
-    Settled by path when the last payload has the key at its top; only other rows are
-    walked, over Arrow batches.
+    The last payload comes first, and the last child of each node. Settled by path when
+    the last payload has all keys at its top; other rows are searched, for all keys in one
+    descent.
     """
-
-    top = child(F.try_element_at(payloads, F.lit(-1)), f"$.{key}")
-    rest = F.when(top.isNull() & (F.size(payloads) > 0), _json_array(payload_texts(body)))
-    return F.coalesce(top, F.try_parse_json(key_walker(key)(rest)))
+    last = F.try_element_at(F.col("payloads"), F.lit(-1))
+    tops = computed(parsed, **{f"_top_{k}": child(last, f"$.{k}") for k in keys})
+    open_ = (F.size("payloads") > 0) & ~reduce(Column.__and__, [F.col(f"_top_{k}").isNotNull() for k in keys])
+    nodes = computed(tops, _nodes=F.when(open_, payload_nodes(F.col("body"))))
+    found = computed(nodes, _deep=last_branch_first(F.col("_nodes").isNotNull(), F.coalesce("_nodes", F.array()), *keys))
+    for k in keys:
+        found = found.withColumn(f"deep_{k}", F.coalesce(F.col(f"_top_{k}"), F.try_parse_json(F.col("_deep")[k])))
+    return found.drop("_nodes", "_deep", *[f"_top_{k}" for k in keys])
 
 
 def v1_page_info(parsed: DataFrame) -> DataFrame:
     """Add ``end_cursor, has_next_page`` of pages that page by ``next_max_id``."""
-    payloads, body = F.col("payloads"), F.col("body")
-    cursor, more = F.col("_next"), F.col("_more")
+    cursor, more = F.col("deep_next_max_id"), F.col("deep_more_available")
     return (
-        parsed.withColumn("_next", deep_first(payloads, body, "next_max_id"))
-        .withColumn("_more", deep_first(payloads, body, "more_available"))
+        deep_first(parsed, "next_max_id", "more_available")
         .withColumn("end_cursor", text_at(cursor, "$"))
-        .withColumn("has_next_page", F.when(has_value(more), counts(more)).otherwise(counts(cursor)))
-        .drop("_next", "_more")
+        .withColumn("has_next_page", F.when(has_value(more), counts(more)).otherwise(F.coalesce(counts(cursor), F.lit(False))))
+        .drop("deep_next_max_id", "deep_more_available")
     )
 
 

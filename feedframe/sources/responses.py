@@ -11,6 +11,7 @@ from feedframe.constants import API_PREFIXES, API_RESOURCE_TYPE
 from feedframe.functions.once import computed, exploded
 from feedframe.functions.json import (
     LINE_BREAK,
+    child,
     is_json,
     is_object,
     non_empty,
@@ -44,13 +45,16 @@ def _errors_of(obj: Column) -> Column:
     return F.when(obj["status"] == "fail", F.concat(listed, failed)).otherwise(listed)
 
 
-def payload_texts(body: Column) -> Column:
-    """JSON texts of the payloads of a body, with the keys of objects in their own order."""
+def payload_nodes(body: Column) -> Column:
+    """The payloads of a body as ``(t, v)``: text with the keys of objects in their own order, and VARIANT."""
     text = strip(body)
     lines = F.transform(F.split(text, LINE_BREAK), strip)
     values = F.when(is_json(text), F.array(text)).otherwise(F.filter(lines, is_json))
-    data = F.transform(values, lambda v: F.get_json_object(v, "$.data"))
-    return F.filter(data, lambda d: d.startswith("{"))
+    # A string that looks like an object is none.
+    responses = F.filter(F.transform(values, F.try_parse_json), is_object)
+    texts = F.filter(values, lambda v: is_object(F.try_parse_json(v)))
+    made = F.zip_with(texts, responses, lambda t, v: F.struct(F.get_json_object(t, "$.data").alias("t"), child(v, "$.data").alias("v")))
+    return F.filter(made, lambda n: is_object(n["v"]))
 
 
 def parse_responses(pages: DataFrame) -> DataFrame:
