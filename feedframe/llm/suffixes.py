@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedframe.llm.words import CHUNK_BYTES, KeyFilter, _power_tables, buffers, mixed, salted, signed
-from feedframe.session import materialize
+from feedframe.session import materialize, release
 
 #: Bytes of a window, of a gram of the first digit, and of a digit of the last passes.
 WINDOW, GRAM, DIGIT = 100, 40, 25
@@ -277,11 +277,11 @@ def _grouped(rows: DataFrame, window: int) -> DataFrame:
     return met.select("doc_id", "key", F.col("at").alias("begin"), F.lit(window).alias("size"))
 
 
-def repeated_spans(rows: DataFrame, firsts: DataFrame, window: int = WINDOW, gram: int = GRAM, bin_runs: int = BIN_RUNS) -> DataFrame:
+def repeated_spans(rows: DataFrame, firsts: DataFrame, window: int = WINDOW, gram: int = GRAM, bin_runs: int = BIN_RUNS) -> tuple[DataFrame, list[DataFrame]]:
     """Spans of first documents whose windows also start earlier: ``doc_id, key, begin, size`` in bytes.
 
     ``rows`` has ``doc_id, key, text``, ``firsts`` the ``doc_id, key`` of the first document
-    of each text. Spans may overlap.
+    of each text. Spans may overlap. Also gives the stored tables that they are read from.
     """
     code = F.xxhash64("key", "doc_id").alias("code")
     first_copy = KeyFilter(firsts.select(code), "code").tester()
@@ -289,19 +289,23 @@ def repeated_spans(rows: DataFrame, firsts: DataFrame, window: int = WINDOW, gra
     anchors = texts.mapInArrow(_anchors(window, gram, first_copy), "bin long")
     live = materialize(anchors.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bin"), "suffix-bins")
     found = materialize(texts.mapInArrow(_live_runs(window, gram, first_copy, KeyFilter(live, "bin").tester()), _RUN), "suffix-runs")
+    release(live)
     inner, runs = found.where("bin is null").select("doc_id", "key", "begin", "size"), found.where("bin is not null")
     place = F.struct("doc_id", "key", "begin")
     kinds = materialize(runs.groupBy("bin", "piece").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "suffix-kinds")
-    again = runs.join(kinds.where("n > 1"), ["bin", "piece"]).where(place != F.col("first"))
+    repeated = kinds.where("n > 1")
+    again = runs.where(KeyFilter(repeated, "piece").may_hold("piece")).join(repeated, ["bin", "piece"]).where(place != F.col("first"))
     again = again.select("doc_id", "key", "begin", (F.col("size") + (window - 1)).alias("size"))
     branching = materialize(kinds.groupBy("bin").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "suffix-branching")
     standing = kinds.join(branching.select("bin"), "bin").select(_code("first.doc_id", "first.key", "first.begin").alias("code"))
     standing = materialize(standing, "suffix-standing")
     cut = materialize(texts.mapInArrow(_run_bytes(window, gram, first_copy, KeyFilter(standing, "code").tester()), _BYTES), "suffix-bytes")
+    release(standing)
     # A bin goes one way with all its runs, whichever the bitmap names.
     hot = KeyFilter(branching.where(F.col("kinds") > bin_runs), "bin").may_hold("bin")
     owned = cut.where(~hot).repartition("bin").sortWithinPartitions("bin").mapInArrow(_sorted_bins(window), _SPAN)
-    return inner.unionByName(again).unionByName(owned).unionByName(_grouped(cut.where(hot), window))
+    spans = inner.unionByName(again).unionByName(owned).unionByName(_grouped(cut.where(hot), window))
+    return spans, [found, kinds, branching, cut]
 
 
 def _remover(window: int, keep_text: bool):
@@ -355,10 +359,11 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRA
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"), F.sha2(text, 256).alias("sha"))
     copies = rows.where("doc_id is not null").groupBy("key", "sha").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
     firsts = materialize(copies, "suffix-firsts")
-    spans = repeated_spans(rows, firsts.select("key", F.col("first_id").alias("doc_id")), window, gram, bin_runs)
+    spans, stored = repeated_spans(rows, firsts.select("key", F.col("first_id").alias("doc_id")), window, gram, bin_runs)
     spans = spans.groupBy("key", F.col("doc_id").alias("first_id")).agg(F.collect_list(F.struct("begin", "size")).alias("spans"))
     plan = firsts.join(spans, ["key", "first_id"], "left").where("last_id > first_id or spans is not null")
     plan = materialize(plan.select(F.col("key").alias("k"), F.col("sha").alias("s"), "first_id", "spans"), "suffix-plan")
+    release(firsts, *stored)
     marked = rows.withColumn("touched", KeyFilter(plan, "k").may_hold("key"))
     joined = marked.where("touched").join(plan, (F.col("key") == F.col("k")) & (F.col("sha") == F.col("s")), "left")
     changed = joined.select("doc_id", "text", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)).alias("copy"), F.when(F.col("doc_id").isNotNull(), F.col("spans")).alias("spans"))
