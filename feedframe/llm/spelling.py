@@ -12,6 +12,7 @@ batches. What a bitmap of the reduced vocabulary excludes never reaches a shuffl
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Iterator
 
@@ -115,7 +116,7 @@ class Reduced:
 def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = Reduced(batch.column(0).to_pylist()).keys()
-        yield pa.RecordBatch.from_arrays([signed(keys), batch.column(0), batch.column(1)], names=["key", "near", "near_n"])
+        yield pa.RecordBatch.from_arrays([signed(keys), batch.column(0), batch.column(1)], names=["key", "word", "n"])
 
 
 def _neighbourhoods(test):
@@ -135,11 +136,16 @@ def _neighbourhoods(test):
     return make
 
 
-def near_words(words: DataFrame) -> DataFrame:
-    """``word, near, near_n``: every pair of ``word, n`` rows that one edit of a code point parts, both ways round."""
-    reduced = materialize(words.mapInArrow(_reduced, "key long, near string, near_n long"), "reduced-words")
-    hoods = words.select("word").mapInArrow(_neighbourhoods(KeyFilter(reduced, "key").tester()), "key long, word string")
-    met = hoods.join(reduced, "key").where(F.col("word") != F.col("near"))
+def reduced_words(words: DataFrame) -> DataFrame:
+    """``word, n`` rows with the ``key`` of the reduced word, stored."""
+    return materialize(words.select("word", "n").mapInArrow(_reduced, "key long, word string, n long"), "reduced-words")
+
+
+def near_words(reduced: DataFrame) -> DataFrame:
+    """``word, near, near_n``: every pair of ``reduced_words`` that one edit of a code point parts, both ways round."""
+    hoods = reduced.select("word").mapInArrow(_neighbourhoods(KeyFilter(reduced, "key").tester()), "key long, word string")
+    other = reduced.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))
+    met = hoods.join(other, "key").where(F.col("word") != F.col("near"))
     return met.where(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
 
 
@@ -149,30 +155,29 @@ def variant_forms(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     ``form`` is the near word (one inserted, deleted or replaced code point) of largest
     ``n``, of equal ones the first in code-point order, where it occurs at least ``ratio``
     times as often as the word; else null. ``root`` follows forms to the last one; a word
-    without form is its own root. ``words`` holds each word once; an empty table gives no
-    rows.
+    without form is its own root. ``words`` holds each word once, with counts above 0, and
+    ``ratio`` is 2 or more; an empty table gives no rows.
     """
-    words = materialize(words.select("word", "n"), "words")
+    reduced = reduced_words(words)
     best = F.min(F.struct((-F.col("near_n")).alias("n"), "near"))
-    near = near_words(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
+    near = near_words(reduced).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
     form = F.when(-F.col("best.n") >= ratio * F.col("n"), F.col("best.near"))
-    named = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), form.alias("form"), (-F.col("best.n")).alias("best_n"))
+    named = reduced.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), form.alias("form"), (-F.col("best.n")).alias("best_n"))
     named = materialize(named.select("word", "n", "n_near", "form", F.when(F.col("form").isNotNull(), F.col("best_n")).alias("form_n")), "word-forms")
-    return named.join(roots(named.where("form is not null").select("word", "form")), "word", "left").withColumn("root", F.coalesce("root", "word"))
+    # Counts grow along forms by the ratio at least, which bounds the way to any root.
+    most = named.agg(F.max("form_n")).first()[0] or 1
+    longest = 1 + int(math.log(most) / math.log(ratio))
+    links = named.where("form is not null").select("word", "form")
+    return named.join(roots(links, longest), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
-def roots(links: DataFrame) -> DataFrame:
-    """``word, root`` from ``word, form`` links without circles; each round doubles the steps taken.
-
-    Counts grow along the links by the ratio at least, so chains are short.
-    """
-    found = links.select("word", F.col("form").alias("root"))
-    while True:
-        found = materialize(found, "word-roots")
+def roots(links: DataFrame, longest: int) -> DataFrame:
+    """``word, root`` from ``word, form`` links without circles, of at most ``longest`` steps; each round doubles the steps taken."""
+    found, reach = links.select("word", F.col("form").alias("root")), 1
+    while reach < longest:
         onward = found.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-        if found.join(onward, "root", "left_semi").isEmpty():
-            return found
-        found = found.join(onward, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"))
+        found, reach = found.join(onward, "root", "left").select("word", F.coalesce("beyond", "root").alias("root")), 2 * reach
+    return found
 
 
 def spelling_variants(docs: DataFrame, ratio: int = RATIO, **options) -> DataFrame:
