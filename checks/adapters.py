@@ -603,7 +603,9 @@ SELECT page_id, url, html,
   html || '<a class="x" href="/p/A' || CAST(page_id AS STRING) || '/">1</a><a href=''/some.one/reel/B-' || CAST(page_id AS STRING)
     || '/''>2</a><a href="/tv/C' || CAST(page_id AS STRING) || '/">3</a>'
     || CASE WHEN page_id % 3 = 0 THEN '<a href="/reel/D' || CAST(page_id AS STRING) || '">4</a>' ELSE '' END
-    || '<a href="/about/p/">5</a>' AS page_html,
+    || '<a href="/about/p/">5</a><A CLASS=big HREF=/p/U' || CAST(page_id AS STRING) || '/>6</A>'
+    || '<a data-href="/p/NO/" href="/about">7</a><!-- <a href="/p/HID/">8</a> --><script>s = "<a href=/p/JS/>"</script><abbr href="/p/AB/">'
+    || '<a title="a > b" href="/p/Q' || CAST(page_id AS STRING) || '/?x=1&amp;y=2">9</a><a name="/p/none/">10</a>' AS page_html,
   CASE WHEN page_id % 4 = 0 THEN 'PostByShortcode' WHEN page_id % 4 = 1 THEN 'Search' ELSE 'UserTimeline' END AS endpoint,
   CASE WHEN page_id % 9 = 0 THEN ' Profile isn''t available ' WHEN page_id % 9 = 1 THEN ' Sorry, this page isn''t available '
        WHEN page_id % 9 = 2 THEN ' This account is private ' WHEN page_id % 9 = 3 THEN ' Retry '

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import feedframe as ff
@@ -516,12 +517,10 @@ _video_plan_query("gen_7_video_plan_merged_kept", True, True)
 
 
 # ---- stored pages -----------------------------------------------------------
-_HREF = """'<a\\s[^>]*?href=["'']([^"'']*)["'']'"""
-_LINKS = f"""
-WITH s AS ({a.STORED_SQL}),
-l AS (SELECT page_id, unnest(found) AS href, generate_subscripts(found, 1) - 1 AS pos
-  FROM (SELECT page_id, regexp_extract_all(page_html, {_HREF}, 1) AS found FROM s) f),
-posts AS (SELECT * FROM l WHERE href LIKE '/p/%' OR href LIKE '/reel/%' OR regexp_matches(href, '^/[A-Za-z0-9_.-]+/(?:p|reel)/[A-Za-z0-9_.-]+/?$'))
+# The links to posts that the adapter put into each page, in their order.
+_LINKS = """
+WITH l AS (SELECT page_id, list_filter(['/p/A' || page_id || '/', '/some.one/reel/B-' || page_id || '/', CASE WHEN page_id % 3 = 0 THEN '/reel/D' || page_id END,
+  '/p/U' || page_id || '/', '/p/Q' || page_id || '/?x=1&y=2'], lambda x: x IS NOT NULL) AS links FROM pages)
 """
 
 
@@ -529,12 +528,14 @@ def _stored(spark, sf):
     return a.derive(spark, sf, a.STORED_SQL, "pages").select("page_id", F.col("page_html").alias("html"))
 
 
-@query(_LINKS + "SELECT page_id, CAST(pos AS INTEGER) AS pos, href FROM posts")
+@query(_LINKS + "SELECT page_id, generate_subscripts(links, 1) AS place, unnest(links) AS href FROM l")
 def gen_8_post_links(spark, sf):
-    return ff.post_links(_stored(spark, sf))
+    links = ff.post_links(_stored(spark, sf))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).cast("bigint")
+    return links.select("page_id", place.alias("place"), "href")
 
 
-@query(_LINKS + "SELECT page_id, arg_max(href, pos) AS href FROM posts GROUP BY page_id")
+@query(_LINKS + "SELECT page_id, links[-1] AS href FROM l")
 def top_4_lowest_post_link(spark, sf):
     from feedframe.operators.assets import hrefs, lowest_post_link
 

@@ -41,10 +41,12 @@ def is_json(text: Column) -> Column:
     """Whether the text is exactly one JSON value.
 
     A bare parser stops after the first value and ignores what follows. Read as the only
-    item of an array, trailing text is an error.
+    item of an array, trailing text is an error, unless it closes that array itself; then
+    it does not close an object in whose place the text stands.
     """
     length = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
-    return F.coalesce(length == 1, F.lit(False))
+    keys = F.json_object_keys(F.concat(F.lit('{"a":'), text, F.lit("}")))
+    return F.coalesce((length == 1) & (F.size(keys) == 1), F.lit(False))
 
 
 def child(value: Column, path: str) -> Column:

@@ -190,9 +190,37 @@ def video_plan(posts: DataFrame, merge: bool = False, keep_streams: bool = False
     )
 
 
+# Text that holds no tags of its own: comments and the insides of some elements.
+_NO_TAGS = r"(?is)<!--.*?-->|<(script|style|textarea|template)\b.*?</\1\s*>"
+# An anchor's start tag; what stands in quotes may hold any character.
+_ANCHOR = r"""(?is)<a(?=[\s/>])([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>"""
+# One attribute: its name, and its value with quotes or without.
+_ATTRIBUTE = r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
+# Named character references of link targets, the ampersand's last.
+_ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#47;", "/"), ("&#x2F;", "/"), ("&#38;", "&"), ("&amp;", "&"))
+
+
+def _target(attributes: Column) -> Column:
+    """Value of the first ``href`` of a start tag; null when it has none."""
+    names = F.regexp_extract_all(attributes, F.lit(_ATTRIBUTE), 1)
+    values = F.regexp_extract_all(attributes, F.lit(_ATTRIBUTE), 2)
+    pairs = F.zip_with(names, values, lambda n, v: F.struct(F.lower(n).alias("name"), v.alias("value")))
+    value = F.get(F.filter(pairs, lambda p: p["name"] == "href"), F.lit(0))["value"]
+    quoted = value.startswith('"') | value.startswith("'")
+    plain = F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+    for name, character in _ENTITIES:
+        plain = F.replace(plain, F.lit(name), F.lit(character))
+    return F.trim(plain)
+
+
 def hrefs(html: Column) -> Column:
-    """Link targets of anchors in a stored page, in page order."""
-    return F.regexp_extract_all(html, F.lit(r"""<a\s[^>]*?href=["']([^"']*)["']"""), 1)
+    """Link targets of the anchors of a stored page, in page order.
+
+    Names in any case, values in double, single or no quotes, character references
+    resolved; comments and scripts hold no anchors, and an anchor without ``href`` is none.
+    """
+    tags = F.regexp_extract_all(F.regexp_replace(html, _NO_TAGS, " "), F.lit(_ANCHOR), 1)
+    return F.filter(F.transform(tags, _target), lambda h: h.isNotNull())
 
 
 def post_links(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:

@@ -64,7 +64,7 @@ Period ARRAY<STRUCT<
 """
 
 RUN_DOCUMENT_SCHEMA = """
-run_id STRING,
+run_id STRING, part BIGINT, `first` BIGINT,
 query STRUCT<endpoint: STRING, query: MAP<STRING, STRING>, params: MAP<STRING, STRING>,
              start_date: STRING, end_date: STRING>,
 result STRING, posts ARRAY<STRING>, users ARRAY<STRING>, time_started STRING, time_taken STRING

@@ -31,9 +31,10 @@ def run_documents(
 ) -> DataFrame:
     """Result documents as rows: the run, its posts and its users, dates as text.
 
-    A document holds at most ``posts_per_document`` posts, so that a run of any length
-    never has to fit into one row: a longer run gives several documents with the same
-    ``run_id``, numbered by ``part``, which ``read_runs`` reads as one run.
+    A document holds at most ``posts_per_document`` posts and as many users, so that a run
+    of any length never has to fit into one row. Each carries its ``run_id``, its number
+    ``part`` and the position ``first`` of its first post and user in the run, which
+    ``read_runs`` reads as one run in its order.
     """
     children = _sliced(posts, "posts", order, posts_per_document).join(
         _sliced(users, "users", user_order, posts_per_document), ["run_id", "part"], "full"
@@ -49,6 +50,7 @@ def run_documents(
         .select(
             "run_id",
             F.coalesce("part", F.lit(0)).alias("part"),
+            (F.coalesce("part", F.lit(0)) * posts_per_document).alias("first"),
             query.alias("query"),
             "result",
             F.coalesce("posts", none).alias("posts"),
@@ -60,20 +62,24 @@ def run_documents(
 
 
 def save_runs(documents: DataFrame, path: str, file_per_run: bool = False) -> None:
-    """Write documents as JSON, one per line.
+    """Write documents as JSON, one per line, each run's together and in its order.
 
-    With ``file_per_run`` each gets a file of its own, ``path/run=../part=..``: handy for
-    a few runs, but millions of runs make millions of files.
+    With ``file_per_run`` each document gets a file of its own in the folder: handy for a
+    few runs, but millions of runs make millions of files.
     """
-    writer = documents.write
-    if file_per_run:
-        writer = documents.withColumn("run", F.col("run_id")).write.partitionBy("run", "part")
+    ordered = documents.repartitionByRange("run_id", "part").sortWithinPartitions("run_id", "part")
+    writer = ordered.write.option("maxRecordsPerFile", 1) if file_per_run else ordered.write
     writer.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def save_posts(posts: DataFrame, path: str) -> None:
-    """Write raw posts as JSON lines, a folder per run, without gathering them."""
-    posts.select("run_id", "raw").write.mode("overwrite").partitionBy("run_id").text(path)
+def save_posts(posts: DataFrame, path: str, order: tuple[str, ...] = ("pos",)) -> None:
+    """Write raw posts as JSON lines, a folder per run, in the order of the run.
+
+    Tasks take ranges of (run, order), so a long run is written by several, whose files
+    follow each other by name.
+    """
+    ordered = posts.repartitionByRange("run_id", *order).sortWithinPartitions("run_id", *order)
+    ordered.select("run_id", "raw").write.mode("overwrite").partitionBy("run_id").text(path)
 
 
 def save_all(
@@ -83,9 +89,10 @@ def save_all(
     base: str,
     order: tuple[str, ...] = ("pos",),
     user_order: tuple[str, ...] = ("pos",),
+    posts_per_document: int = POSTS_PER_DOCUMENT,
 ) -> tuple[str, str]:
     """Write documents to ``<base>.json`` and posts to ``<base>.jsonl``; returns both paths."""
     json_path, jsonl_path = f"{base}.json", f"{base}.jsonl"
-    save_runs(run_documents(runs, posts, users, order, user_order), json_path)
-    save_posts(posts, jsonl_path)
+    save_runs(run_documents(runs, posts, users, order, user_order, posts_per_document), json_path)
+    save_posts(posts, jsonl_path, order)
     return json_path, jsonl_path

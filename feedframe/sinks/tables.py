@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedframe.constants import OUTPUT_SUFFIXES
 from feedframe.operators.flatten import flatten_posts
-from feedframe.schemas import FLAT_SCHEMA
+from feedframe.session import materialize, release
 from feedframe.sources.files import is_directory, list_inputs, read_posts
 
 
@@ -69,18 +69,21 @@ def _formats(fmt: str) -> list[str]:
 def write_flat(flat: DataFrame, targets: dict[str, str], partition_by: tuple[str, ...] = ()) -> int:
     """Write a flat table to one target per format; returns rows times formats.
 
-    The table is computed once: with several formats Parquet comes first and the others
-    are written from it.
+    The table is computed once: with several formats it is stored, and each is written
+    from there. Written by ``partition_by``, a target keeps its other partitions: only
+    those that the table has are replaced.
     """
-    order = sorted(targets, key=lambda f: f != "parquet")
     counted = Observation()
-    source = flat.observe(counted, F.count(F.lit(1)).alias("rows"))
-    for n, fmt in enumerate(order):
-        _writer(source, fmt).partitionBy(*partition_by).save(targets[fmt])
-        if n == 0 and fmt == "parquet" and len(order) > 1:
-            schema = FLAT_SCHEMA + "".join(f", {c} string" for c in partition_by)
-            source = flat.sparkSession.read.schema(schema).parquet(targets[fmt])
-    return counted.get["rows"] * len(order)
+    source = stored = flat.observe(counted, F.count(F.lit(1)).alias("rows"))
+    if len(targets) > 1:
+        source = stored = materialize(source, "flat")
+    for fmt, target in targets.items():
+        writer = _writer(source, fmt)
+        if partition_by:
+            writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
+        writer.save(target)
+    release(stored)
+    return counted.get["rows"] * len(targets)
 
 
 def _file_like(output: str) -> bool:
@@ -106,11 +109,11 @@ def flatten_paths(
     * one input and an ``output`` named like a file: that target;
     * otherwise one target per input, ``<folder>/<format>/src_stem=<input>``, in the
       ``output`` folder or, without one, beside the input. Inputs without posts give
-      nothing.
+      nothing, and outputs of other inputs stay.
     """
     formats = _formats(fmt)
     folder = is_directory(spark, input_path)
-    several = folder and list_inputs(spark, input_path).limit(2).count() > 1
+    several = folder and len(list_inputs(spark, input_path)) > 1
     named = output is not None and not output.endswith("/") and _file_like(output)
     if concat and not named:
         raise ValueError("concat requires an output named like a file")

@@ -13,9 +13,7 @@ one task, or store big captures as plain JSON lines.
 
 from __future__ import annotations
 
-import os
 from typing import NamedTuple
-from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,37 +35,31 @@ class Runs(NamedTuple):
     users: DataFrame
 
 
-def _glob(extensions: tuple[str, ...]) -> str:
-    return "*{" + ",".join(extensions) + "}"
+def _inside(path: str, extensions: tuple[str, ...]) -> str:
+    """The files of a folder's own level with one of the extensions, as a path of their own.
 
+    Named file by file, folders below are not looked into, and none of them is taken for a
+    partition of the table.
+    """
+    return f"{path.rstrip('/')}/*{{{','.join(extensions)}}}"
 
-def _plain(path: str) -> str:
-    parts = urlparse(path)
-    local = unquote(parts.path) if parts.scheme else os.path.abspath(path)
-    return local.rstrip("/")
 
-
-def list_inputs(spark: SparkSession, path: str, extensions=INPUT_EXTENSIONS) -> DataFrame:
-    """The input files below a directory (its own level only) as rows of ``path``."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", _glob(extensions))
-        .load(path)
-        .select("path")
-    )
+def list_inputs(spark: SparkSession, path: str, extensions=INPUT_EXTENSIONS) -> list[str]:
+    """The input files of a directory (its own level only), sorted."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(_inside(path, extensions))
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
+    return sorted(f.getPath().toString() for f in found if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
 
 
 def is_directory(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` is a folder rather than one file."""
-    first = spark.read.format("binaryFile").load(path).select("path").head()
-    return first is None or _plain(first["path"]) != _plain(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(place) and files.getFileStatus(place).isDirectory()
 
 
-def _text(spark: SparkSession, path: str, glob: str | None, whole: bool) -> DataFrame:
-    reader = spark.read
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path, wholetext=whole).select(
+def _text(spark: SparkSession, path: str, whole: bool) -> DataFrame:
+    return spark.read.text(path, wholetext=whole).select(
         F.col("_metadata.file_path").alias("src_file"),
         F.col("_metadata.file_block_start").alias("src_block"),
         F.col("value"),
@@ -105,19 +97,19 @@ def document_posts(text: Column, strict_envelope: bool = False) -> Column:
     )
 
 
-def _documents(spark, path, glob, strict_envelope, mode) -> DataFrame:
+def _documents(spark, path, strict_envelope, mode) -> DataFrame:
     text = strip(F.col("value"))
     documents = computed(
-        _text(spark, path, glob, whole=True), value=_checked(is_json(text), text, mode)
+        _text(spark, path, whole=True), value=_checked(is_json(text), text, mode)
     )
     posts = exploded(documents, document_posts(F.col("value"), strict_envelope), "pos", "raw")
     return posts.select("src_file", F.lit(0).cast("bigint").alias("src_block"), F.col("pos").cast("bigint").alias("pos"), "raw")
 
 
-def _lines(spark, path, glob, mode) -> DataFrame:
+def _lines(spark, path, mode) -> DataFrame:
     # The id grows along the lines of a task, and a task reads a block from its start
     # to its end, so (src_file, src_block, pos) is the order of the lines.
-    lines = _text(spark, path, glob, whole=False).withColumn("value", strip(F.col("value")))
+    lines = _text(spark, path, whole=False).withColumn("value", strip(F.col("value")))
     value = F.col("value")
     posts = computed(lines.where(value != ""), raw=_checked(is_json(value), value, mode))
     return posts.where(F.col("raw").isNotNull()).select(
@@ -138,19 +130,23 @@ def read_posts(
     parts of a JSON-lines table ``.json`` or ``.txt``.
     """
     if lines:
-        posts = _lines(spark, path, None, mode)
+        posts = _lines(spark, path, mode)
     elif not is_directory(spark, path):
         posts = (
-            _lines(spark, path, None, mode)
+            _lines(spark, path, mode)
             if path.endswith(LINE_EXTENSIONS) and not strict_envelope
-            else _documents(spark, path, None, strict_envelope, mode)
+            else _documents(spark, path, strict_envelope, mode)
         )
     else:
-        if list_inputs(spark, path).isEmpty():
+        inputs = list_inputs(spark, path)
+        if not inputs:
             raise ValueError(f"No .json/.jsonl result files found in {path}")
-        posts = _documents(spark, path, _glob(DOCUMENT_EXTENSIONS), strict_envelope, mode)
-        if not strict_envelope:
-            posts = posts.unionByName(_lines(spark, path, _glob(LINE_EXTENSIONS), mode))
+        parts = []
+        if strict_envelope or any(f.endswith(DOCUMENT_EXTENSIONS) for f in inputs):
+            parts.append(_documents(spark, _inside(path, DOCUMENT_EXTENSIONS), strict_envelope, mode))
+        if not strict_envelope and any(f.endswith(LINE_EXTENSIONS) for f in inputs):
+            parts.append(_lines(spark, _inside(path, LINE_EXTENSIONS), mode))
+        posts = concat_inputs(*parts)
     return posts.select("src_file", input_stem(F.col("src_file")).alias("src_stem"), "src_block", "pos", "raw")
 
 
@@ -168,11 +164,15 @@ def concat_inputs(*posts: DataFrame) -> DataFrame:
 
 
 def split_run_documents(documents: DataFrame) -> Runs:
-    """Tables of run documents given as rows of ``(src_file, value)``."""
-    doc = documents.withColumn("doc", F.from_json("value", RUN_DOCUMENT_SCHEMA)).withColumn(
-        "run_id", F.coalesce(F.col("doc.run_id"), F.col("src_file"))
-    )
-    runs = doc.select(
+    """Tables of run documents given as rows of ``(src_file, value)``, and ``place`` within the file.
+
+    A document without ``run_id`` is a run of its own, named by its file and place.
+    ``pos`` counts along the run, over all its documents.
+    """
+    place = F.concat_ws("#", "src_file", *(["place"] if "place" in documents.columns else []))
+    doc = computed(documents, doc=F.from_json("value", RUN_DOCUMENT_SCHEMA)).withColumn("run_id", F.coalesce(F.col("doc.run_id"), place))
+    # Each document of a run says the same about it.
+    runs = doc.where(F.coalesce(F.col("doc.part"), F.lit(0)) == 0).select(
         "run_id",
         F.col("doc.query.endpoint").alias("endpoint"),
         F.col("doc.query.query").alias("query"),
@@ -182,23 +182,29 @@ def split_run_documents(documents: DataFrame) -> Runs:
         F.col("doc.result").alias("result"),
         F.try_to_timestamp(F.col("doc.time_started")).alias("time_started"),
         F.col("doc.time_taken").alias("time_taken"),
-    ).dropDuplicates(["run_id"])
+    )
 
     def children(field: str) -> DataFrame:
-        rows = exploded(doc, F.col(f"doc.{field}"), "pos", "raw")
-        return rows.select("run_id", "src_file", F.col("pos").cast("bigint").alias("pos"), "raw")
+        rows = exploded(doc, F.col(f"doc.{field}"), "_pos", "raw")
+        first = F.coalesce(F.col("doc.first"), F.lit(0))
+        return rows.select("run_id", "src_file", (first + F.col("_pos")).cast("bigint").alias("pos"), "raw")
 
     return Runs(runs, children("posts"), children("users"))
 
 
-def read_runs(spark: SparkSession, path: str, lines: bool = False) -> Runs:
+def read_runs(spark: SparkSession, path: str, lines: bool = False, mode: str = "failfast") -> Runs:
     """Saved result documents (one file or a folder) as tables.
 
     A file holds one document, or with ``lines`` one per line, which splits over tasks.
+    Text that is no JSON object is an error, or with ``mode="permissive"`` left out.
 
-    A run saved in several documents, as ``save_run`` does for long runs, comes back as
-    one run: its documents carry the same ``run_id``.
+    A run saved in several documents, as ``save_runs`` does for long runs, comes back as
+    one run: its documents carry the same ``run_id``, and its rows their ``pos`` in it.
     """
-    glob = _glob(DOCUMENT_EXTENSIONS) if is_directory(spark, path) else None
-    documents = _text(spark, path, glob, whole=not lines).withColumn("value", strip(F.col("value")))
-    return split_run_documents(documents.where(F.col("value").startswith("{")))
+    source = _inside(path, DOCUMENT_EXTENSIONS) if is_directory(spark, path) else path
+    text = _text(spark, source, whole=not lines).withColumn("value", strip(F.col("value")))
+    if lines:
+        text = text.withColumn("place", F.concat_ws(".", "src_block", F.monotonically_increasing_id()))
+    good = is_json(F.col("value")) & F.col("value").startswith("{")
+    documents = computed(text.where(F.col("value") != ""), value=_checked(good, F.col("value"), mode))
+    return split_run_documents(documents.where(F.col("value").isNotNull()))

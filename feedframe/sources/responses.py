@@ -31,8 +31,8 @@ def filter_api_responses(pages: DataFrame) -> DataFrame:
 
 def _values(text: Column) -> Column:
     """The JSON value of a text as an array of one, read in one pass; null if the text is
-    not exactly one value (which the brackets make an error)."""
-    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), _RESPONSE)
+    not exactly one value (which brackets and braces make an error)."""
+    return F.from_json(F.concat(F.lit('{"a":['), text, F.lit("]}")), f"a {_RESPONSE}")["a"]
 
 
 def _errors_of(obj: Column) -> Column:

@@ -60,3 +60,19 @@ def test_pictures_first_of_each_handle(raw, spark):
     users = spark.createDataFrame([("me", "u0", 0), ("new", "u1", 1), ("new", "u2", 2), ("blank", "", 3)], "username string, profile_pic_url string, n bigint")
     pics = ff.assets(frame, users, ("page_seq",), ("n",)).profile_pics
     assert sorted(tuple(r) for r in pics.collect()) == [("9", "p9"), ("me", "hd"), ("new", "u1")]
+
+
+def test_links_of_odd_anchors(spark):
+    from feedframe.operators.assets import hrefs
+
+    pages = {
+        '<a data-href="/p/NO/" href="/about">': ["/about"],
+        '<A HREF="/p/UP/">': ["/p/UP/"],
+        "<a href=/p/bare>x</a><a\nclass='x' href = '/p/q\"uote/'>": ["/p/bare", '/p/q"uote/'],
+        '<a title="1 > 0" href="/p/x/?a=1&amp;b=&quot;2&quot;">': ['/p/x/?a=1&b="2"'],
+        '<!-- <a href="/p/1/"> --><script>"<a href=/p/2/>"</script><abbr href="/p/3/"><a><a href="/p/4/" href="/p/5/">': ["/p/4/"],
+        '<a href="/p/' + "x" * 100_000 + '/"' + ' data-x="y"' * 3000 + ">": ["/p/" + "x" * 100_000 + "/"],
+        "<a href='": [],
+    }
+    frame = spark.createDataFrame([(h,) for h in pages], "html string")
+    assert {r.html: r.links for r in frame.select("html", hrefs(F.col("html")).alias("links")).collect()} == pages

@@ -54,12 +54,24 @@ def test_folder_takes_known_names_of_its_own_level(spark, tmp_path):
     (tmp_path / "notes.txt").write_text("no posts")
     (tmp_path / "deeper").mkdir()
     (tmp_path / "deeper" / "c.json").write_text(json.dumps([post("3")]))
+    (tmp_path / "run=1").mkdir()
+    (tmp_path / "run=1" / "d.json").write_text(json.dumps([post("4")]))
+    (tmp_path / "_hidden.json").write_text("not read")
     assert pks(ff.read_posts(spark, str(tmp_path))) == ["1", "2"]
     with pytest.raises(ValueError, match="No .json"):
         (tmp_path / "empty").mkdir()
         ff.read_posts(spark, str(tmp_path / "empty"))
 
 
+def test_text_of_several_values_is_no_document(spark, tmp_path):
+    path = tmp_path / "r.json"
+    for text in ('{"pk":"1"}],[{"pk":"2"}', '{"pk":"1"},{"pk":"2"}', '{"pk":"1"} {"pk":"2"}', '{"pk":"1"}},{"a":{"pk":"2"}'):
+        path.write_text(text)
+        with pytest.raises(Exception, match="Not valid JSON"):
+            ff.read_posts(spark, str(path)).collect()
+        assert pks(ff.read_posts(spark, str(path), mode="permissive")) == []
+
+
 def test_bad_lines_fail_or_go(spark, tmp_path):
     path = tmp_path / "r.jsonl"
     path.write_text(json.dumps(post("1")) + "\n{broken\n" + json.dumps(post("2")) + " trailing\n")
@@ -122,6 +134,17 @@ def test_folder_gives_one_output_per_input(spark, folder, tmp_path):
     assert (folder / "parquet" / "src_stem=a_Search").exists()
 
 
+def test_a_second_input_keeps_the_outputs_of_the_first(spark, tmp_path):
+    for name, pk in (("a", "1"), ("b", "2")):
+        (tmp_path / f"{name}.jsonl").write_text(json.dumps(post(pk)) + "\n")
+        assert ff.flatten_paths(spark, str(tmp_path / f"{name}.jsonl"), output=str(tmp_path / "flat"), fmt="all") == 3
+    for fmt in ("csv", "jsonl", "parquet"):
+        assert sorted(p.name for p in (tmp_path / "flat" / fmt).glob("src_stem=*")) == ["src_stem=a", "src_stem=b"]
+    # Once more: replaced, not doubled.
+    ff.flatten_paths(spark, str(tmp_path / "a.jsonl"), output=str(tmp_path / "flat"), fmt="jsonl")
+    assert len(lines(tmp_path / "flat" / "jsonl")) == 2
+
+
 def test_concat(spark, folder, tmp_path):
     assert ff.flatten_paths(spark, str(folder), output=str(tmp_path / "merged.jsonl"), fmt="jsonl", concat=True) == 3
     assert len(lines(tmp_path / "merged.jsonl")) == 3
@@ -159,10 +182,30 @@ def test_saved_runs_come_back_whole(spark, tmp_path, file_per_run):
     ff.save_runs(documents, str(tmp_path / "docs"), file_per_run=file_per_run)
     back = ff.read_runs(spark, str(tmp_path / "docs"), lines=not file_per_run)
     assert [(r.run_id, r.query["keyword"], r.result) for r in back.runs.orderBy("run_id").collect()] == [("a", "x", "success"), ("b", "y", "no posts")]
-    assert sorted(json.loads(r.raw)["pk"] for r in back.posts.collect()) == [str(n) for n in range(7)]
+    assert [(r.pos, json.loads(r.raw)["pk"]) for r in back.posts.orderBy("pos").collect()] == [(n, str(n)) for n in range(7)]
+    assert not list((tmp_path / "docs").glob("*=*"))
     assert [r.run_id for r in back.users.collect()] == ["b"]
 
 
+def test_documents_without_a_run_id_stay_apart_and_bad_ones_are_told(spark, tmp_path):
+    path = tmp_path / "docs.json"
+    path.write_text('{"result":"a","posts":[{"pk":"1"}]}\n{"result":"b","posts":[{"pk":"2"}]}\n')
+    back = ff.read_runs(spark, str(path), lines=True)
+    assert back.runs.select("run_id").distinct().count() == 2
+    assert back.posts.select("run_id").distinct().count() == 2
+    path.write_text('{"result":"a"}\n{broken\n')
+    assert [r.result for r in ff.read_runs(spark, str(path), lines=True, mode="permissive").runs.collect()] == ["a"]
+    with pytest.raises(Exception, match="Not valid JSON"):
+        ff.read_runs(spark, str(path), lines=True).runs.collect()
+
+
+def test_saved_posts_keep_the_order_of_the_run(spark, tmp_path):
+    rows = [(run, n, f'{{"pk":"{n}"}}') for n in range(50) for run in ("a", "b")]
+    ff.save_posts(spark.createDataFrame(rows, "run_id string, pos bigint, raw string").repartition(5), str(tmp_path / "posts"))
+    back = ff.read_posts(spark, str(tmp_path / "posts" / "run_id=a"), lines=True)
+    assert pks(back) == [str(n) for n in range(50)]
+
+
 def test_save_all(spark, tmp_path):
     runs = spark.createDataFrame([("a", "Search", {"keyword": "x"}, "success", None, None)], "run_id string, endpoint string, query map<string,string>, result string, time_started timestamp, time_taken string")
     posts = spark.createDataFrame([("a", 0, '{"pk":"1"}'), ("a", 1, '{"pk":"2"}')], "run_id string, pos bigint, raw string")
