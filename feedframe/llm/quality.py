@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedframe.llm.words import LOWER, VISIBLE, Chunk, chunks, mixed, salted, sequences
 from feedframe.session import materialize
@@ -113,10 +114,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out, ma
     """Texts with their label and shard, and their number: at most ``max_train`` labelled rows, by the hash of their id.
 
     The rows picked are a small table of known size, so it is broadcast to the texts. Rows
-    without a label or an id are passed over.
+    without an id, or whose label is neither 0 nor 1, are passed over; of several labels
+    of one id the greatest counts.
     """
     picked = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
-    picked = picked.where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & ~held_out(F.col("_id")))
+    picked = picked.where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out(F.col("_id")))
+    picked = picked.groupBy("_id").agg(F.max("_label").alias("_label"))
     picked = picked.withColumn("_order", F.xxhash64(F.lit(3), "_id")).orderBy("_order", "_id", "_label").limit(max_train)
     picked = materialize(picked, f"{label}-labels")
     n = picked.count()
@@ -178,8 +181,8 @@ def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["_row", column])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    kinds = f"_row {rows.schema['_row'].dataType.simpleString()}, `{column}` double"
-    return rows.mapInArrow(score_batches, kinds).select("_row.*", column)
+    kinds = T.StructType([T.StructField("_row", rows.schema["_row"].dataType), T.StructField(column, T.DoubleType())])
+    return rows.mapInArrow(score_batches, kinds).select("_row.*", F.col(f"`{column}`"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out, max_train: int = MAX_TRAIN, column: str = "score") -> DataFrame:

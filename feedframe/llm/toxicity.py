@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedframe.llm.quality import ROUNDS, labelled_sample, n_rounds
 from feedframe.llm.words import ALNUM, Chunk, chunks, salted
@@ -177,5 +178,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out, max_train: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["_row", "score", "offending"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    kinds = f"_row {rows.schema['_row'].dataType.simpleString()}, score double, offending array<struct<start:bigint,end:bigint,score:double>>"
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
+    kinds = T.StructType([T.StructField("_row", rows.schema["_row"].dataType), T.StructField("score", T.DoubleType()), T.StructField("offending", T.ArrayType(span))])
     return rows.mapInArrow(score_batches, kinds).select("_row.*", "score", "offending")

@@ -1,8 +1,8 @@
 """WARC archives of pages, and one index over all of them by an external merge.
 
 Writing: a record per page, as text with the blank lines between records as line separator,
-so Spark's own writer produces the archive bytes wherever the shared folder is. Equal
-payloads are found first; all but one of them become revisit records that name it.
+so Spark's own writer produces the archive bytes wherever the shared folder is. Payloads
+that repeat are found first; all records of one but the response become revisits that name it.
 
 Reading: each archive is parsed by the lengths its headers give and its captures are sorted:
 a run. Owner tasks take ranges of (URL key, timestamp, page) and merge the runs in theirs
@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedframe.session import materialize, work_folder
+from feedframe.llm.words import KeyFilter
+from feedframe.session import materialize, release, work_folder
 
 #: Fixed values of the archive format.
 VERSION = "WARC/1.1"
@@ -76,29 +77,25 @@ def url_key(url: str) -> str:
 def _write_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         records = []
-        for page, url, html, keep, response in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            payload = html or ""
-            raw = payload.encode("utf-8", "surrogatepass")
-            digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        for page, url, html, size, sha1, keep, response in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
             lines = [
                 VERSION,
                 f"WARC-Type: {'response' if response else 'revisit'}",
                 f"WARC-Target-URI: {_header(url)}",
                 f"WARC-Date: {_date(page)}",
                 f"WARC-Record-ID: {_record_id(page)}",
-                f"WARC-Payload-Digest: sha1:{digest}",
-                f"X-Payload-Length: {len(raw)}",
+                f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}",
+                f"X-Payload-Length: {size}",
             ]
             if page is not None:
                 lines.append(f"X-Page-ID: {page}")
-            head = RESPONSE_HEAD.format(len(raw))
+            head = RESPONSE_HEAD.format(size)
             if not response:
                 lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_record_id(keep)}"]
                 if keep is not None:
                     lines.append(f"X-Refers-To-Page: {keep}")
-                payload, raw = "", b""
-            lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(head) + len(raw)}"]
-            records.append("\r\n".join(lines) + SEPARATOR + head + payload)
+            lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(head) + (size if response else 0)}"]
+            records.append("\r\n".join(lines) + SEPARATOR + head + (html if response else ""))
         yield pa.RecordBatch.from_arrays([pa.array(records, pa.string())], names=["value"])
 
 
@@ -106,30 +103,48 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
     """Write a WARC record for each row of ``pages``; returns the folder of archives.
 
     Of rows with equal payloads of at least ``least`` bytes, that with the largest id is
-    the response and the others revisit it; smaller payloads are all responses. Null html
-    is an empty payload, a null URL an empty one, a null id below every other. Of equal
-    rows one is the response. Other columns are not read. An empty table gives archives
-    without records.
+    the response, of several with that id the one with the greatest URL, and the others
+    revisit it; smaller payloads are all responses. Null html is an empty payload, a null
+    URL an empty one, a null id below every other. Of equal rows one is the response. Other
+    columns are not read. An empty table gives archives without records.
+
+    Records are told by their content alone, never by a row number, so rows may come in
+    any order each time they are read. Pages whose payload is theirs alone are written
+    where they are read; of a payload that repeats one copy moves, and its revisits
+    without it.
     """
     spark = pages.sparkSession
     out = path or work_folder(spark, "warc")
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    rows = pages.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), html.alias("html")
-    )
-    keyed = rows.select("row", "page", F.sha2("html", 256).alias("key"), F.octet_length("html").alias("size"))
-    keyed = materialize(keyed, "warc-payloads")
-    # One row for each payload, combined before the shuffle; rows that only stand for themselves need no join.
-    able = keyed.where(F.col("size") >= least)
-    order = F.struct(F.col("page").isNotNull().alias("has"), "page", (-F.col("row")).alias("early"))
-    best = able.groupBy("key").agg(F.max(order).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    revisits = able.join(best.select("key", F.col("best.page").alias("keep"), (-F.col("best.early")).alias("keep_row")), "key")
-    revisits = materialize(revisits.where("row <> keep_row").select("row", "keep", F.lit(False).alias("response")), "warc-revisits")
-    total = int(keyed.select(F.coalesce(F.sum("size"), F.lit(0)) + F.count(F.lit(1)) * 600).first()[0])
-    marked = rows.join(revisits, "row", "left").select("row", "page", "url", "html", "keep", F.coalesce("response", F.lit(True)).alias("response"))
-    # Dealt out evenly by row number, so archives are of a size, whatever page or payload is frequent.
-    files = max(1, -(-total // FILE_BYTES))
-    marked.repartition(files, "row").select("page", "url", "html", "keep", "response").mapInArrow(_write_records, "value string").write.option("lineSep", SEPARATOR).text(out)
+    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), html.alias("html"))
+    rows = rows.select("page", "url", "html", F.octet_length("html").alias("size"), F.sha1("html").alias("sha1"), F.unhex(F.sha2("html", 256)).alias("key"))
+    able = rows.where(F.col("size") >= least).withColumn("key64", F.xxhash64("key"))
+    repeated = able.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("key").alias("key64"))
+    repeated = materialize(repeated, "warc-repeated")
+    may_repeat = KeyFilter(repeated, "key64").may_hold("key64")
+    totals = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+
+    none = F.lit(None).cast("long").alias("keep")
+    record = ["page", "url", "html", "size", "sha1"]
+    small = rows.where(F.col("size") < least).select(*record, none, F.lit(True).alias("response"))
+    alone = able.where(~may_repeat).select(*record, none, F.lit(True).alias("response"))
+    twins = able.where(may_repeat)
+    # Rows without their payload, equal ones as one with their number; and one payload for each key.
+    kinds = materialize(twins.groupBy("key", "page", "url").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.min("sha1").alias("sha1")), "warc-kinds")
+    order = F.struct(F.col("page").isNotNull().alias("has"), "page", "url")
+    heads = kinds.groupBy("key").agg(F.max(order).alias("head"))
+    payloads = twins.groupBy("key").agg(F.min("html").alias("html"), F.min("size").alias("size"), F.min("sha1").alias("sha1"))
+    responses = payloads.join(heads, "key").select("head.page", "head.url", "html", "size", "sha1", none, F.lit(True).alias("response"))
+    is_head = order == F.col("head")
+    others = kinds.join(heads, "key").withColumn("left", F.col("n") - F.when(is_head, 1).otherwise(0)).where("left > 0")
+    others = others.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "left")))
+    revisits = others.select("page", "url", F.lit(None).cast("string").alias("html"), "size", "sha1", F.col("head.page").alias("keep"), F.lit(False).alias("response"))
+    records = alone.unionByName(small).unionByName(responses).unionByName(revisits) if least else alone.unionByName(responses).unionByName(revisits)
+    # A file is read back whole: about FILE_BYTES of records each.
+    each = max(1, int(FILE_BYTES * totals[1] // (totals[0] + totals[1] * 600))) if totals[1] else 1
+    written = records.mapInArrow(_write_records, "value string").write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", each)
+    written.text(out)
+    release(repeated, kinds)
     return out
 
 
