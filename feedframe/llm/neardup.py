@@ -7,11 +7,19 @@ a register keeps the shingle that arrives first. No arrival after the last regis
 one counts, so generation ends there. Registers of two texts agree with the probability of
 their similarity.
 
-Bands of registers make buckets. Pairs are not taken within buckets: a few members of each
-lead, others meet the leaders, and pairs that reach the threshold, by their words, join
-components. Buckets that still hold several components go on with further leaders, until
-each of their members has led or all are in one component. So copies by the thousand meet
-their leaders and nothing else, and no link between components is left out.
+Bands of registers make buckets. Pairs are not taken from buckets as such: inside a bucket,
+registers of two members give their similarity to within a few hundredths, and
+
+1. only the pairs of a maximum spanning forest are tested by their words. Members that are
+   near one another meet through their nearest ones, so copies by the thousand give as many
+   pairs as members;
+2. where a bucket then still holds several components, each member is tested with its
+   nearest ones of other components;
+3. of what is left apart after that, every pair is tested that the registers do not rule out.
+
+A pair at 0.8 shares no band with probability 0.07, and is ruled out by its registers with
+probability 0.01; a class needs only some of its links, so less of them goes missing than
+that. Buckets beyond ``BLOCK`` members are dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -23,16 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedframe.llm.words import ALNUM, Chunk, KeyFilter, chunks, mixed, salted, sequences, signed
-from feedframe.session import materialize
+from feedframe.llm.words import ALNUM, Chunk, KeyFilter, buffers, chunks, mixed, salted, sequences, signed
+from feedframe.session import materialize, release
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Registers: BANDS bands of ROWS. A pair at 0.8 shares no band with probability 3e-6.
-BANDS, ROWS = 32, 5
+#: Registers: BANDS bands of ROWS.
+BANDS, ROWS = 24, 10
 #: Arrivals a register gets, on average, before the first look and between further looks.
 FIRST_LOOK, FURTHER_LOOK = 5.0, 1.5
-#: Leaders of a bucket in the first round, and how many times as many in each further one.
-LEADERS, MORE = 1, 16
+#: Standard deviations below the threshold at which the registers rule a pair out.
+MARGIN = 2.4
+#: Members of a bucket compared at once, and nearest ones that a member is tested with.
+BLOCK, NEAREST = 2048, 6
+#: Links that a task joins by itself before components meet.
+LOCAL_LINKS = 1 << 20
 
 
 def shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -101,20 +113,98 @@ def bands(registers: np.ndarray) -> np.ndarray:
     return salted(out + np.arange(BANDS, dtype=np.uint64), 9)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket and key of each band of each text that is new to this task."""
-    seen: set[int] = set()
-    for batch in batches:
-        fresh = []
-        for key in batch.column(0).to_pylist():
-            fresh.append(key not in seen)
-            seen.add(key)
-        batch = batch.filter(pa.array(fresh, pa.bool_()))
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        for chunk in chunks(batch.column(1), ALNUM, lower=True):
-            full = np.flatnonzero(chunk.counts)
-            found = bands(prob_min_hash(*weighted(chunk), chunk.n_texts))[full]
-            yield pa.RecordBatch.from_arrays([signed(found.reshape(-1)), pa.array(np.repeat(keys[chunk.first + full], BANDS))], names=["bin", "key"])
+def _sketcher(first_copy):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Buckets and registers (a byte of each) of each text with words, without rows that are surely copies."""
+        for batch in batches:
+            batch = batch.filter(pa.array(first_copy(batch.column(1).to_numpy(zero_copy_only=False)), pa.bool_()))
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for chunk in chunks(batch.column(2), ALNUM, lower=True):
+                full = np.flatnonzero(chunk.counts)
+                registers = prob_min_hash(*weighted(chunk), chunk.n_texts)[full]
+                raw = np.ascontiguousarray((salted(registers, 2) >> np.uint64(56)).astype(np.uint8))
+                offsets = (np.arange(len(full) + 1) * registers.shape[1]).astype(np.int32)
+                sketches = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+                bins = pa.ListArray.from_arrays(pa.array((np.arange(len(full) + 1) * BANDS).astype(np.int32)), signed(bands(registers).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[chunk.first + full]), bins, sketches], names=["key", "bins", "sketch"])
+
+    return sketch
+
+
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of equal registers of each of ``x`` with each of ``y``, less what chance gives to bytes."""
+    if len(x) * len(y) <= 4096:
+        equal = (x[:, None, :] == y[None, :, :]).sum(axis=2)
+    else:
+        equal = np.zeros((len(x), len(y)), dtype=np.int32)
+        for k in range(x.shape[1]):
+            equal += x[:, k, None] == y[None, :, k]
+    return (equal / x.shape[1] - 1 / 256) / (1 - 1 / 256)
+
+
+def spanning_forest(similar: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges of a maximum spanning forest over the pairs of at least ``least``, by growing trees."""
+    n = len(similar)
+    best, link = np.full(n, -1.0), np.zeros(n, dtype=np.int64)
+    out, open_ = [], np.ones(n, dtype=bool)
+    for _ in range(n):
+        at = int(np.argmax(np.where(open_, best, -2.0)))
+        open_[at] = False
+        if best[at] >= least:
+            out.append((int(link[at]), at))
+        nearer = similar[at] > best
+        best[nearer], link[nearer] = similar[at][nearer], at
+    return out
+
+
+def _group_pairs(keys: np.ndarray, labels: np.ndarray, registers: np.ndarray, stage: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one bucket's members to be tested at a stage."""
+    similar = agreement(registers, registers)
+    similar[labels[:, None] == labels[None, :]] = -1
+    np.fill_diagonal(similar, -1)
+    if stage == 0:
+        edges = np.array(spanning_forest(similar, least), dtype=np.int64).reshape(-1, 2)
+        i, j = edges[:, 0], edges[:, 1]
+    elif stage == 1:
+        near = np.argsort(-similar, axis=1, kind="stable")[:, :NEAREST]
+        i, j = np.repeat(np.arange(len(keys)), near.shape[1]), near.reshape(-1)
+        some = similar[i, j] >= least
+        i, j = i[some], j[some]
+    else:
+        i, j = np.nonzero(np.triu(similar >= least, 1))
+    return np.minimum(keys[i], keys[j]), np.maximum(keys[i], keys[j])
+
+
+def _pairs(stage: int, least: float):
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by bucket and block; a group is looked at when all of it is there."""
+        held: pa.Table | None = None
+
+        def looked(table: pa.Table) -> pa.RecordBatch:
+            groups = [table.column(n).to_numpy() for n in ("bin", "low", "high")]
+            new = np.any([g[1:] != g[:-1] for g in groups], axis=0)
+            cuts = [0, *(1 + np.flatnonzero(new)).tolist(), len(groups[0])]
+            keys, labels = table.column("key").to_numpy(), table.column("label").to_numpy()
+            raw, offsets = buffers(table.column("sketch").combine_chunks())
+            registers = raw.reshape(len(keys), -1)
+            found = [_group_pairs(keys[a:z], labels[a:z], registers[a:z], stage, least) for a, z in zip(cuts, cuts[1:], strict=False) if z - a > 1]
+            a, b = (np.concatenate([f[k] for f in found]) if found else keys[:0] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            last = [held.column(n)[-1].as_py() for n in ("bin", "low", "high")]
+            same = np.all([held.column(n).to_numpy() == v for n, v in zip(("bin", "low", "high"), last, strict=True)], axis=0)
+            whole = int(np.argmax(same))
+            if whole:
+                yield looked(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None:
+            yield looked(held)
+
+    return pair
 
 
 def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,21 +272,48 @@ def _verifier(threshold: float):
     return verify
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of a task's links: each node with the least one it reaches."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    u, v = (table.column(n).to_numpy() for n in ("u", "v"))
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    least = np.arange(len(nodes))
+    while True:
+        low = np.minimum(least[a], least[b])
+        if (least[a] == least[b]).all():
+            break
+        np.minimum.at(least, least[a], low)
+        np.minimum.at(least, least[b], low)
+        while (least[least] != least).any():
+            least = least[least]
+    above = least != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[above]), pa.array(nodes[least[above]])], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` of all nodes of ``a, b`` edges: the least node of each component.
 
-    Large and small stars in turn (a node's larger neighbours, then its smaller ones, are
-    tied to the least) until nothing changes; every round is written to the shared folder.
+    Tasks join what links they have, at most ``LOCAL_LINKS`` of them. What several tasks
+    found then meets by large and small stars in turn (a node's larger neighbours, then its
+    smaller ones, are tied to the least) until nothing changes, each round stored.
     """
-    links = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = None
-    while True:
+    links = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
+    tasks = 1 + links.count() // LOCAL_LINKS
+    joined = materialize(links.coalesce(tasks).mapInArrow(_joined, "u long, v long"), "links")
+    release(links)
+    links, mark = joined, None
+    while tasks > 1:
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        links = materialize(small.where("u <> v").distinct(), "links")
+        before, links = links, materialize(small.where("u <> v").distinct(), "links")
+        release(before)
         now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break
@@ -204,31 +321,47 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("label")).union(links.select("v", "v").distinct())
 
 
+def _dealt(marked: DataFrame, sizes: DataFrame, every: bool) -> DataFrame:
+    """Members of buckets in groups of bounded size: blocks, or with ``every`` all pairs of blocks."""
+    block = F.pmod(F.xxhash64("key"), F.col("blocks"))
+    rows = marked.join(sizes, "bin").withColumn("block", block)
+    if not every:
+        return rows.withColumn("low", F.col("block")).withColumn("high", F.col("block"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+
+
 def linked(rows: DataFrame, firsts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``key, label`` of texts that are near another: ``rows`` has ``doc_id, key, sha, text``, ``firsts`` the first row of each text."""
     spark = rows.sparkSession
-    sketches = rows.select("key", "text").mapInArrow(_sketch, "bin long, key long")
-    buckets = materialize(sketches.repartition("bin").sortWithinPartitions("bin", "key").mapInArrow(_sharing, "bin long, key long"), "buckets")
+    code = F.xxhash64("key", "doc_id").alias("code")
+    sketcher = _sketcher(KeyFilter(firsts.select(code), "code").tester())
+    sketches = materialize(rows.select("key", code, "text").mapInArrow(sketcher, "key long, bins array<long>, sketch binary"), "sketches")
+    bins = sketches.select(F.explode("bins").alias("bin"), "key")
+    buckets = materialize(bins.repartition("bin").sortWithinPartitions("bin", "key").mapInArrow(_sharing, "bin long, key long"), "buckets")
+    members = buckets.select("key").distinct()
+    registers = materialize(sketches.join(members, "key", "left_semi").select("key", "sketch").dropDuplicates(["key"]), "registers")
+    release(sketches)
     labels = spark.createDataFrame([], "key long, label long")
-    tested = spark.createDataFrame([], "a long, b long")
-    edges = None
-    led, leaders = 0, LEADERS
-    while True:
+    least = threshold - MARGIN * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5
+    stored, edges, tested = [buckets, registers], None, None
+    for stage in range(3):
         marked = buckets.join(labels, "key", "left").select("bin", "key", F.coalesce("label", "key").alias("label"))
-        mixed_bins = marked.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").where(F.col("n") > led)
-        marked = materialize(marked.join(mixed_bins.select("bin"), "bin"), "mixed-buckets")
-        if marked.isEmpty():
-            break
-        rank = Window.partitionBy("bin").orderBy(F.xxhash64("key"), "key")
-        leading = marked.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= led + leaders).where(F.col("rank") > led)
-        leading = leading.select("bin", F.col("key").alias("leader"), F.col("label").alias("leader_label"))
-        pairs = marked.join(leading, "bin").where("label <> leader_label").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(pairs)
-        led, leaders = led + leaders, leaders * MORE
+        several = marked.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        sizes = several.select("bin", F.expr(f"1 + (n - 1) div {BLOCK}").alias("blocks"))
+        dealt = _dealt(marked, sizes, every=stage == 2).join(registers, "key").select("bin", "low", "high", "key", "label", "sketch")
+        grouped = dealt.repartition("bin", "low", "high").sortWithinPartitions("bin", "low", "high", "key")
+        pairs = grouped.mapInArrow(_pairs(stage, least), "a long, b long").distinct()
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        stored.append(pairs)
+        if pairs.isEmpty():
+            continue
+        tested = pairs if tested is None else tested.union(pairs)
         near = materialize(_verified(rows, firsts, pairs, threshold), "near-pairs")
         edges = near if edges is None else edges.union(near)
+        stored += [near, labels]
         labels = materialize(components(edges).select(F.col("node").alias("key"), "label"), "labels")
+    release(*stored)
     return labels
 
 

@@ -93,6 +93,31 @@ def test_near_duplicates(docs, texts, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_in_small_blocks_lose_no_link(spark, monkeypatch):  # noqa: F811
+    """Texts around a common one, many of them below the threshold, in buckets of several blocks."""
+    rng = random.Random(21)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(150)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 4, 6])):
+            words[at] = f"x{rng.randint(0, 99999)}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, " ".join(base[:60] + [f"y{rng.randint(0, 99999)}" for _ in range(60)])) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute.near_classes(rows)
+    for block in (2048, 9):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        assert {r.doc_id: r.class_id for r in neardup.near_duplicates(frame).collect()} == want
+
+
+def test_spanning_forest_takes_the_nearest():
+    similar = np.array([[-1, 0.9, 0.8, 0], [0.9, -1, 0.95, 0], [0.8, 0.95, -1, 0.5], [0, 0, 0.5, -1]])
+    assert {frozenset(e) for e in neardup.spanning_forest(similar, 0.7)} == {frozenset((0, 1)), frozenset((1, 2))}
+    x = np.array([[1, 2, 3, 4], [1, 2, 9, 9]], dtype=np.uint8)
+    assert neardup.agreement(x, x)[0, 1] == pytest.approx((0.5 - 1 / 256) / (1 - 1 / 256))
+
+
 def test_near_duplicates_keep_one_of_equal_rows(spark):  # noqa: F811
     frame = spark.createDataFrame([(1, "a b c d e f")] * 3 + [(None, "x")] * 2, "doc_id long, text string")
     assert neardup.one_of_each(frame).count() == 2
@@ -115,8 +140,10 @@ def test_registers_agree_as_often_as_texts_are_similar():
     assert (got[0] == got[1]).mean() == pytest.approx(90 / 110, abs=0.03)
 
 
-def test_components_of_a_chain(spark):  # noqa: F811
-    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 20)] + [(50, 40), (60, 60)], "a long, b long")
+@pytest.mark.parametrize("local", [1 << 20, 4])
+def test_components_of_a_chain(spark, monkeypatch, local):  # noqa: F811
+    monkeypatch.setattr(neardup, "LOCAL_LINKS", local)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 20)] + [(50, 40), (60, 60)], "a long, b long").repartition(7)
     got = {r.node: r.label for r in neardup.components(edges).collect()}
     assert got == {**{i: 0 for i in range(21)}, 40: 40, 50: 40}
 
@@ -218,6 +245,25 @@ def test_loss_mask_by_prefix_sums():
     assert chat.loss_mask([], []).tolist() == []
 
 
+def test_warc_of_rows_that_come_in_another_order_each_time(spark):  # noqa: F811
+    """Pages out of an aggregation, read by several plans with other columns and partitions."""
+    rows = [(i, f"http://a{i % 7}.example.com/{i}", f"<p>{i % 40}</p>" if i % 3 else f"own {i}") for i in range(600)]
+    frame = spark.createDataFrame([r for r in rows for _ in range(2)], "page_id long, url string, html string").repartition(9)
+    from pyspark.sql import functions as F
+
+    pages = frame.groupBy("page_id").agg(F.max("url").alias("url"), F.max("html").alias("html"))
+    index = warc.capture_index(spark, warc.write_archives(pages))
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in index.collect()}
+    assert got == brute.captures([(p, h) for p, _, h in rows]) and index.count() == 600
+
+
+def test_small_payloads_are_all_responses(spark):  # noqa: F811
+    frame = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "v", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
+    rows = warc.capture_index(spark, warc.write_archives(frame, least=3)).collect()
+    assert sorted((r.page_id, r.url, r.record_type, r.refers_to) for r in rows if r.page_id < 3) == [(1, "u", "response", None), (2, "u", "response", None)]
+    assert sorted((r.page_id, r.url, r.record_type, r.refers_to) for r in rows if r.page_id > 2) == [(3, "u", "revisit", 4), (4, "u", "revisit", 4), (4, "v", "response", None)]
+
+
 def test_warc(spark):  # noqa: F811
     rows = [(i, f"http://a{i % 2}.example.com/é?x={i}\r\nWARC-Type: x", h) for i, h in enumerate(["<p>", None, "", "a\r\n\r\nWARC/1.1\r\n\r\nb", "<p>", "é" * 3000, "<p>", "\r\n\r\n"])]
     rows += [(8, None, "own"), (8, None, "own")]
@@ -277,6 +323,14 @@ def test_toxicity_and_its_sentences(labelled, nothing):
     assert toxicity.toxicity_scores(nothing, labels, crc_fold(3, 1)).count() == 0
 
 
+def test_scores_of_rows_with_any_column_names(spark):  # noqa: F811
+    frame = spark.createDataFrame([(1, "a b c", 5, "x"), (2, None, None, None)], "doc_id long, text string, `my col-1` int, `from:to` string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, 7, -1)], "doc_id long, quality int, toxic int")
+    for rows in (quality.quality_scores(frame, labels, crc_fold(4, 2)), toxicity.toxicity_scores(frame, labels, crc_fold(3, 1))):
+        assert rows.columns[:4] == frame.columns
+        assert sorted((r[0], r[2]) for r in rows.collect()) == [(1, 5), (2, None)]
+
+
 def test_held_out_labels_are_not_learned(labelled):
     frame, labels, _ = labelled
     sample, n = quality.labelled_sample(frame, labels, "quality", crc_fold(4, 2), 100)
