@@ -13,8 +13,8 @@ registers of two members give their similarity to within a few hundredths, and
 1. only the pairs of a maximum spanning forest are tested by their words. Members that are
    near one another meet through their nearest ones, so copies by the thousand give as many
    pairs as members;
-2. where a bucket then still holds several components, each member is tested with its
-   nearest ones of other components;
+2. where a bucket then still holds several components, each member outside the largest is
+   tested with its nearest ones of other components;
 3. of what is left apart after that, every pair is tested that the registers do not rule out.
 
 A pair at 0.8 shares no band with probability 0.07, and is ruled out by its registers with
@@ -166,8 +166,11 @@ def _group_pairs(keys: np.ndarray, labels: np.ndarray, registers: np.ndarray, st
         edges = np.array(spanning_forest(similar, least), dtype=np.int64).reshape(-1, 2)
         i, j = edges[:, 0], edges[:, 1]
     elif stage == 1:
-        near = np.argsort(-similar, axis=1, kind="stable")[:, :NEAREST]
-        i, j = np.repeat(np.arange(len(keys)), near.shape[1]), near.reshape(-1)
+        # Members of the bucket's largest component are met by the others, not the other way round.
+        names, times = np.unique(labels, return_counts=True)
+        asking = np.flatnonzero(labels != names[np.argmax(times)]) if times.max() > 1 else np.arange(len(keys))
+        near = np.argsort(-similar[asking], axis=1, kind="stable")[:, :NEAREST]
+        i, j = np.repeat(asking, near.shape[1]), near.reshape(-1)
         some = similar[i, j] >= least
         i, j = i[some], j[some]
     else:
