@@ -79,6 +79,9 @@ def loss_mask(lengths: Iterable[int], trained: Iterable[bool]) -> np.ndarray:
     return np.cumsum(steps)[:-1].astype(np.int8)
 
 
+#: Tokens of finished parts that a task holds before it sends them on, about.
+HELD_TOKENS = 1 << 20
+
 _ENCODED = "conv_id long, turn long, role string, role_ids array<int>, ids array<int>"
 _FORMATTED = "conv_id long, part int, n_turns long, input_ids array<int>, loss_mask array<tinyint>, n_chars long"
 
@@ -106,8 +109,10 @@ def _assembler(path: str, trained_role: str, part_tokens: int):
         state: dict = {"conv": None, "open": False}
         segments: list[tuple] = []  # (ids, trained)
         done: list[tuple] = []
+        held = 0  # tokens of finished parts
 
         def flush() -> None:
+            nonlocal held
             if not segments:
                 return
             ids = np.concatenate([np.asarray(s, dtype=np.int32) for s, _ in segments])
@@ -115,6 +120,7 @@ def _assembler(path: str, trained_role: str, part_tokens: int):
             chars = sum(marks[s[0]] if len(s) == 1 and s[0] in marks else len(made.decode(s)) for s, _ in segments)
             done.append((state["conv"], state["part"], state["turns"], ids, mask, chars))
             segments.clear()
+            held += len(ids)
             state["part"] += 1
             state["turns"] = state["tokens"] = 0
 
@@ -129,9 +135,10 @@ def _assembler(path: str, trained_role: str, part_tokens: int):
                 segments += [(turn_mark, False), (role_ids, False), (text_mark, False), (ids, role == trained_role), (end, False)]
                 state["turns"] += 1
                 state["tokens"] += len(role_ids) + len(ids) + 3
-            if len(done) >= 256:
-                yield _parts(done)
-                done.clear()
+                if held >= HELD_TOKENS:
+                    yield _parts(done)
+                    done.clear()
+                    held = 0
         flush()
         yield _parts(done)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,7 +40,20 @@ def crc_fold(folds: int, held: int) -> Callable[[Column], Column]:
 _SPOKEN = "</s>[INST] ok [/INST]"
 
 
-@query("op1_chat_format")
+_RESTS = "|".join(re.escape(c[1:]) for c in sorted(chat.CONTROLS + chat.FOREIGN, key=len, reverse=True)).replace("'", "''")
+_ESCAPED = rf"length(regexp_replace(coalesce({{}}, ''), '([<\[])(\\*)({_RESTS})', '\1\\\2\3', 'g'))"
+_CHAT_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t.turn, t.role, '{_SPOKEN}' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role))
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST({len(chat.CONTROLS[0])} + sum({len("".join(chat.CONTROLS[1:]))} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+@query("op1_chat_format", _CHAT_SQL)
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, then read back from the token ids."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -92,13 +106,39 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-@query("op3_substring_dedup")
+_SPANS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 13], ' ') AS s FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 12, 0))) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM x GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM x JOIN f USING (s), range(13) AS r(k) WHERE doc_id > first),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op3_substring_dedup", _SPANS_SQL)
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return spans.remove_repeats(docs, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@query("op4_decontamination")
+_LEAKS_SQL = r"""
+WITH words AS (SELECT NULL::VARCHAR AS item, doc_id, text FROM documents UNION ALL SELECT item_id::VARCHAR, NULL, text FROM benchmark WHERE item_id IS NOT NULL),
+cut AS (SELECT item, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM words),
+d AS (SELECT doc_id, w FROM cut WHERE item IS NULL),
+b AS (SELECT item, w, least(10, len(w)) AS n FROM cut WHERE item IS NOT NULL AND len(w) > 0),
+bw AS (SELECT DISTINCT item, n, array_to_string(w[i + 1 : i + n], ' ') AS s FROM (SELECT item, w, n, unnest(range(len(w) - n + 1)) AS i FROM b)),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(greatest(len(w) - n + 1, 0))) AS i FROM d, (SELECT DISTINCT n FROM b))),
+hits AS (SELECT doc_id, n, i, item FROM dw JOIN bw USING (n, s)),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, i + k AS pos FROM hits, range(10) AS r(k) WHERE k < n) GROUP BY doc_id),
+held AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)
+"""
+
+
+@query("op4_decontamination", _LEAKS_SQL)
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = leakage.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select(
@@ -129,8 +169,8 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op6_mix_targets", _MIX_SQL)
-def op6_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("mix_targets", _MIX_SQL)
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the mix SQL can say: sizes and targets of all documents."""
     return op6_mix_sources(spark, sf_dir).drop("taken")
 
@@ -174,7 +214,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_warc_index")
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS head FROM pages),
+h AS (SELECT *, array_to_string(list_transform(string_split(sha1(html), ''), lambda x: right(bin(('0x' || x)::INT + 16), 4)), '') AS bits FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_reduce(list_transform(string_split(substr(bits, 5 * k + 1, 5), ''), lambda x: x::INT), lambda a, x: 2 * a + x) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM h
+"""
+
+
+@query("op10_warc_index", _WARC_SQL)
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives, which are then read back and indexed."""
     archives = warc.write_archives(table(spark, sf_dir, "pages"))
