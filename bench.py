@@ -42,6 +42,10 @@ HEADLINE = [
 ]
 
 
+# Timed beside them, and not in the total: they came later.
+MORE = ["pln_1_rebuild_runs_posts", "str_6_stream_stop"]
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -56,11 +60,11 @@ def main() -> None:
     # One pass over a small query, so that the first timing is not the start of the JVM.
     spark.read.parquet(f"{sf_dir}/nation.parquet").count()
     seconds: dict[str, float] = {}
-    for name in HEADLINE:
+    for name in HEADLINE + MORE:
         start = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
-    total = round(sum(seconds.values()), 3)
+    total = round(sum(seconds[n] for n in HEADLINE), 3)
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir).removeprefix("sf")}))
 
 

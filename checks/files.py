@@ -15,6 +15,7 @@ from checks.registry import query
 from checks.runs import _ALL_POSTS, _post_columns
 from feedframe.sinks import runs as run_sinks
 from feedframe.sinks import tables
+from feedframe.schemas import FLAT_COLUMNS
 from feedframe.session import work_folder
 from feedframe.sources import files
 
@@ -94,13 +95,13 @@ def set_1_concat_inputs(spark, sf):
 
 @query(f"WITH p AS ({a.POSTS_SQL}) SELECT row_number() OVER (ORDER BY d) - 1 AS place, CASE WHEN typename = 'XDTFeedItem' THEN NULL ELSE id END AS id FROM p")
 def top_5_sort_inputs(spark, sf):
-    """Posts in input order. The id of a row then grows along the sorted table; its place
-    is found by what stands before it, range by range, without one task for all."""
+    """Posts in input order, out of a scattered table. The number of a row then grows along
+    the sorted table; its place is found by what stands before it, range by range."""
     posts = a.posts(spark, sf).select(F.lit("f").alias("src_file"), F.lit(0).alias("src_block"), F.col("d").alias("pos"), "raw")
-    ordered = ff.sort_inputs(posts)
+    ordered = ff.sort_inputs(posts.repartition(13, "pos")).select("src_file", "raw", F.monotonically_increasing_id().alias("row"))
     from feedframe.operators.running import running
 
-    places = running(ordered, run="src_file", seq="pos", index="place")
+    places = running(ordered, run="src_file", seq="row", index="place")
     return places.select("place", F.from_json("raw", "id STRING")["id"].alias("id"))
 
 
@@ -109,30 +110,32 @@ def _flat(spark, sf):
     return ff.flatten_posts(a.posts(spark, sf), resolve=True)
 
 
-_SHORT = "id, code, url, taken_at, caption_text, like_count, num_images, location_lat, audio_label, is_paid_partnership"
-_SHORT_DUCK = RESOLVED + f"SELECT {_SHORT} FROM (SELECT {FLAT_DUCK} FROM m) f"
+# All columns as they are, and as CSV gives them back, where an empty text is none.
+_EVERY = ", ".join(FLAT_COLUMNS)
+_EVERY_DUCK = RESOLVED + f"SELECT {_EVERY} FROM (SELECT {FLAT_DUCK} FROM m) f"
+_AS_CSV = ", ".join(f"nullif({c}, '') AS {c}" if t == "string" else c for c, t in FLAT_COLUMNS.items())
 
 
-@query(_SHORT_DUCK.replace("caption_text", "nullif(caption_text, '') AS caption_text", 1))
+@query(RESOLVED + f"SELECT {_AS_CSV} FROM (SELECT {FLAT_DUCK} FROM m) f")
 def snk_1_write_csv(spark, sf):
     path = work_folder(spark, "csv")
     ff.write_csv(_flat(spark, sf), path)
     back = spark.read.options(header=True, multiLine=True, escape='"').schema(ff.FLAT_SCHEMA).csv(path)
-    return back.selectExpr(*_SHORT.split(", "))
+    return back.select(*FLAT_COLUMNS)
 
 
-@query(_SHORT_DUCK)
+@query(_EVERY_DUCK)
 def snk_2_write_parquet(spark, sf):
     path = work_folder(spark, "parquet")
     ff.write_parquet(_flat(spark, sf), path)
-    return spark.read.parquet(path).selectExpr(*_SHORT.split(", "))
+    return spark.read.parquet(path).select(*FLAT_COLUMNS)
 
 
-@query(_SHORT_DUCK)
+@query(_EVERY_DUCK)
 def snk_3_write_jsonl(spark, sf):
     path = work_folder(spark, "jsonl")
     ff.write_jsonl(_flat(spark, sf), path)
-    return spark.read.schema(ff.FLAT_SCHEMA).json(path).selectExpr(*_SHORT.split(", "))
+    return spark.read.schema(ff.FLAT_SCHEMA).json(path).select(*FLAT_COLUMNS)
 
 
 @query(_RAW_DUCK + " UNION ALL SELECT * FROM (SELECT CASE WHEN typename = 'XDTFeedItem' THEN NULL ELSE id END, length(CASE WHEN caption_form <> 0 AND typename <> 'XDTFeedItem' THEN text END) FROM p WHERE lang = 'fr') t")
@@ -169,12 +172,13 @@ def snk_6_per_input(spark, sf):
     )
 
 
-@query(RESOLVED + f"SELECT {_SHORT} FROM (SELECT {FLAT_DUCK} FROM m) f")
+@query(_EVERY_DUCK)
 def snk_7_flatten_to_one_target(spark, sf):
-    source = _written_lines(spark, sf, "inputs")
-    target = work_folder(spark, "merged")
-    tables.write_flat(ff.flatten_posts(ff.read_posts(spark, source, lines=True), resolve=True), {"parquet": target})
-    return spark.read.parquet(target).selectExpr(*_SHORT.split(", "))
+    """A folder of result documents into one target."""
+    source, target = work_folder(spark, "inputs"), work_folder(spark, "merged") + ".parquet"
+    ff.save_runs(_saved(spark, sf), source, file_per_run=True)
+    ff.flatten_paths(spark, source, output=target, fmt="parquet", concat=True, resolve=True)
+    return spark.read.parquet(target).select(*FLAT_COLUMNS)
 
 
 @query("SELECT count(*) AS written, count(*) AS rows FROM documents")

@@ -140,19 +140,9 @@ def postprocess(runs: DataFrame, posts: DataFrame, users: DataFrame, tz: str = "
     Successful timelines: media resolved, then filtered by the run's dates and handle.
     Successful searches: media resolved. Every other run keeps its posts as they are.
 
-    A handle nearly always has one or two ids: the least and the greatest are then all of
-    them and travel with the run's rule, so that posts move once. Posts of runs with more
-    ids meet those by joins; where no run has more, that branch is empty at run time.
+    Posts are read once, and only those with something to look up meet the ids, by joins
+    on the id: no run's ids or posts are gathered anywhere.
     """
     ids = handle_user_ids(runs, users)
-    known = ids.groupBy("run_id").agg(
-        F.array(F.min("user_id"), F.max("user_id")).alias("_ids"), F.count(F.lit(1)).alias("_id_count")
-    )
-    rules = run_rules(runs, tz).join(known, "run_id", "left")
-    settled = dated_posts(rules.where(F.coalesce("_id_count", F.lit(0)) <= 2), posts)
-    by_id = F.coalesce(F.arrays_overlap("_owners", "_ids"), F.lit(False))
-    kept = settled.where((F.col("_mode") != "filter") | F.col("_direct") | by_id).select(*posts.columns)
-
-    open_rules = rules.where(F.col("_id_count") > 2)
-    rest = dated_posts(open_rules, posts).withColumn("_direct", (F.col("_mode") != "filter") | F.col("_direct"))
-    return kept.unionByName(_owned(rest, ids, ("run_id",)).select(*posts.columns))
+    keyed = dated_posts(run_rules(runs, tz), posts).withColumn("_direct", (F.col("_mode") != "filter") | F.col("_direct"))
+    return _owned(keyed, ids, ("run_id",)).select(*posts.columns)

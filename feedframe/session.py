@@ -34,11 +34,13 @@ def build_session(app_name: str = "feedframe", master: str | None = None, **conf
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the one the cluster shares (``spark.checkpoint.dir``).
 
-    Only where that setting is missing, as in a local test, a temporary folder takes
-    its place.
+    Where that setting is missing, a session in one process works in a temporary folder; on
+    a cluster that would be another folder on each machine, so it is an error there.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="feedframe-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/feedframe/{name}-{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from feedframe.functions.once import computed
 from feedframe.functions.posts import post_id
+from feedframe.operators.filters import is_rate_limited
 from feedframe.operators.routing import route_posts, route_users
 from feedframe.schemas import PAGE_SCHEMA
 from feedframe.sources.responses import parse_responses, payload_rows
@@ -31,8 +32,9 @@ def stream_pages(
 
 
 def stream_posts(pages: DataFrame) -> DataFrame:
-    """Post nodes of arriving pages. Keeps no state."""
-    return route_posts(payload_rows(parse_responses(pages)))
+    """Post nodes of arriving pages, none of throttled ones. Keeps no state."""
+    parsed = parse_responses(pages)
+    return route_posts(payload_rows(parsed.where(~is_rate_limited(F.col("errors")))))
 
 
 def stream_users(pages: DataFrame) -> DataFrame:

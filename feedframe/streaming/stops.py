@@ -1,14 +1,21 @@
-"""Stop rules on a live stream of pages, one state per run.
+"""Stop rules on a live stream of pages.
 
-A live run delivers its pages one after the other, so what a task holds for a run in one
-batch is a few rows of counts; the parse of the bodies runs before, without state, over
-all tasks. For a backlog use the batch operators, which also split long runs.
+The bodies are parsed without state, over all tasks. Then come three steps with state. Ids
+of posts are known by (run, part of the id's hash), so a run with any number of posts, and
+a backlog of its pages, spread over ``PARTS`` keys; each gives a few numbers per page. Those
+of a run's parts meet in one state per run, which holds no ids. The last step ends a run
+at its first stop.
+
+Pages that overtake one another on their way wait for a stated delay, in both of the first
+steps, and are handled in their order.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -29,16 +36,25 @@ _STATE_STORE = (
     "spark.sql.streaming.stateStore.providerClass",
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 )
-_STATE = (
+#: Keys that the posts of a run are spread over.
+PARTS = 16
+
+_FACTS = (
     "run_id string, page_seq bigint, endpoint string, start_unix bigint, cursor_sent string, "
-    "end_cursor string, has_next_page boolean, error string, connection_present boolean, "
-    "iter_index bigint, new_count bigint, timestamped_count bigint, oldest_in_batch_unix bigint, "
+    "end_cursor string, has_next_page boolean, error string, connection_present boolean"
+)
+_COUNTED = _FACTS + ", parts int, new_count bigint, timestamped_count bigint, oldest_in_batch_unix bigint"
+_STATE = _FACTS + (
+    ", iter_index bigint, new_count bigint, timestamped_count bigint, oldest_in_batch_unix bigint, "
     "all_count bigint, no_progress_streak bigint, late boolean"
 )
-_STATE_COLUMNS = [field.split()[0] for field in _STATE.split(", ")]
 _STOPPED = _STATE + ", stop_code string"
 
 
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
 def stream_page_rows(pages: DataFrame) -> DataFrame:
     """Per page its facts and the ``(id, ts)`` of its posts in order. Keeps no state."""
     parsed = parse_responses(pages)
@@ -60,53 +76,138 @@ def _sorted(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
 
 
-class _PageStates(StatefulProcessor):
-    """Turns page rows into page states. Keeps the ids seen, and a few numbers."""
+def _plain(value):
+    """A cell of a frame as a plain value, null as None."""
+    if value is None or value is pd.NaT or (isinstance(value, float) and value != value) or value is pd.NA:
+        return None
+    return value.item() if hasattr(value, "item") else value
+
+
+class _InOrder(StatefulProcessor):
+    """Handles the pages of a key in the order of ``page_seq``; with a delay they wait for those before them."""
+
+    def __init__(self, delay_ms: int):
+        self._delay = delay_ms
 
     def init(self, handle) -> None:
+        self._handle = handle
+        self._waiting = handle.getListState("waiting", "since bigint, page_seq bigint, page string")
+        self.open(handle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pages = [self.page(r) for r in _sorted(rows, "page_seq").itertuples(index=False)]
+        if not self._delay:
+            yield self.handled(pages)
+            return
+        now = timerValues.getCurrentProcessingTimeInMs()
+        if not self._waiting.exists():
+            self._handle.registerTimer(now + self._delay)
+        self._waiting.appendList([(now, p["page_seq"], json.dumps(p)) for p in pages])
+        yield self.handled([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        waiting = sorted((tuple(w) for w in self._waiting.get()), key=lambda w: w[1])
+        ripe = [seq for since, seq, _ in waiting if since + self._delay <= now]
+        # What stands before a page whose time has come goes with it.
+        due = [json.loads(page) for _, seq, page in waiting if ripe and seq <= max(ripe)]
+        ready = due[: self.whole(due)]
+        left = waiting[len(ready) :]
+        self._waiting.clear()
+        if left:
+            self._waiting.put(left)
+            self._handle.registerTimer(max(now + 1, min(w[0] for w in left) + self._delay))
+        yield self.handled(ready)
+
+    def whole(self, pages: list[dict]) -> int:
+        """How many of the first rows can be handled."""
+        return len(pages)
+
+    def close(self) -> None:
+        pass
+
+
+class _NewPosts(_InOrder):
+    """Counts, for each page, the posts of one part of the ids that are new to the run. Keeps the ids."""
+
+    def open(self, handle) -> None:
         self._seen = handle.getMapState("seen", "id string", "one int")
+        self._last = handle.getValueState("last", "page_seq bigint")
+
+    @staticmethod
+    def page(row) -> dict:
+        page = {c: _plain(getattr(row, c, None)) for c in _names(_FACTS + ", parts int")}
+        page["posts"] = [[p["id"], _plain(p["ts"])] for p in row.posts]
+        return page
+
+    def handled(self, pages: list[dict]) -> pd.DataFrame:
+        last = self._last.get()[0] if self._last.exists() else None
+        out = []
+        for page in pages:
+            # A page that comes too late changes nothing that is known.
+            in_time = last is None or page["page_seq"] > last
+            stamps = [ts for post, ts in page.pop("posts") if in_time and self._is_new(post)]
+            known = [ts for ts in stamps if ts is not None]
+            out.append({**page, "new_count": len(stamps), "timestamped_count": len(known), "oldest_in_batch_unix": min(known, default=None)})
+            last = page["page_seq"] if in_time else last
+        if last is not None:
+            self._last.update((last,))
+        return _frame(out, _names(_COUNTED))
+
+    def _is_new(self, post_id) -> bool:
+        if post_id is None:
+            return True
+        if self._seen.containsKey((post_id,)):
+            return False
+        self._seen.updateValue((post_id,), (1,))
+        return True
+
+
+class _PageStates(_InOrder):
+    """Turns the counts of a run's pages, which come in parts, into page states. Keeps a few numbers."""
+
+    def open(self, handle) -> None:
         self._last = handle.getValueState(
             "last", "page_seq bigint, index bigint, total bigint, streak bigint, cursor string"
         )
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    @staticmethod
+    def page(row) -> dict:
+        return {c: _plain(getattr(row, c, None)) for c in _names(_COUNTED)}
+
+    def whole(self, pages: list[dict]) -> int:
+        """Rows of the pages in front of the first one that still lacks a part."""
+        done = 0
+        while done < len(pages) and done + pages[done]["parts"] <= len(pages) and pages[done + pages[done]["parts"] - 1]["page_seq"] == pages[done]["page_seq"]:
+            done += pages[done]["parts"]
+        return done
+
+    def handled(self, pages: list[dict]) -> pd.DataFrame:
         last = self._last.get() if self._last.exists() else None
         out = []
-        for page in _sorted(rows, "page_seq").itertuples(index=False):
-            row = {c: getattr(page, c, None) for c in _STATE_COLUMNS}
-            row["late"] = last is not None and page.page_seq <= last[0]
+        for _, group in groupby(pages, key=lambda p: p["page_seq"]):
+            parts = list(group)
+            row = {c: parts[0].get(c) for c in _names(_FACTS)}
+            row["late"] = last is not None and row["page_seq"] <= last[0]
             if row["late"]:
                 out.append(row)
                 continue
-            new = [p for p in page.posts if self._is_new(p["id"])]
-            stamps = [p["ts"] for p in new if not pd.isna(p["ts"])]
-            before = last or (None, -1, 0, 0, page.cursor_sent)
+            new = sum(p["new_count"] for p in parts)
+            before = last or (None, -1, 0, 0, row["cursor_sent"])
             row.update(
                 cursor_sent=before[4],
                 iter_index=before[1] + 1,
-                new_count=len(new),
-                timestamped_count=len(stamps),
-                oldest_in_batch_unix=min(stamps, default=None),
-                all_count=before[2] + len(new),
+                new_count=new,
+                timestamped_count=sum(p["timestamped_count"] for p in parts),
+                oldest_in_batch_unix=min((p["oldest_in_batch_unix"] for p in parts if p["oldest_in_batch_unix"] is not None), default=None),
+                all_count=before[2] + new,
                 no_progress_streak=0 if new else before[3] + 1,
             )
-            cursor = None if pd.isna(page.end_cursor) else page.end_cursor
-            last = (page.page_seq, row["iter_index"], row["all_count"], row["no_progress_streak"], cursor)
+            last = (row["page_seq"], row["iter_index"], row["all_count"], row["no_progress_streak"], row["end_cursor"])
             out.append(row)
         if last is not None:
             self._last.update(tuple(last))
-        yield _frame(out, _STATE_COLUMNS)
-
-    def _is_new(self, post_id) -> bool:
-        if post_id is None:
-            return True
-        if self._seen.containsKey((post_id,)):
-            return False
-        self._seen.updateValue((post_id,), (1,))
-        return True
-
-    def close(self) -> None:
-        pass
+        return _frame(out, _names(_STATE))
 
 
 class _UntilStop(StatefulProcessor):
@@ -134,24 +235,42 @@ def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns).astype(object).where(lambda d: d.notna(), None)
 
 
-def stream_page_states(page_rows: DataFrame) -> DataFrame:
+def in_parts(page_rows: DataFrame, parts: int = PARTS) -> DataFrame:
+    """A row for each page and each part of the ids that its posts belong to; pages without posts have one."""
+    posts = F.transform("posts", lambda p: F.struct(p.alias("post"), F.pmod(F.xxhash64(F.coalesce(p["id"], F.lit(""))), F.lit(parts)).cast("int").alias("part")))
+    placed = page_rows.withColumn("_posts", posts).withColumn("_of", F.array_distinct(F.transform("_posts", lambda p: p["part"])))
+    none = F.pmod(F.xxhash64("page_seq"), F.lit(parts)).cast("int")
+    found = F.when(F.size("_of") > 0, F.col("_of")).otherwise(F.array(none))
+    rows = placed.withColumn("_of", found).withColumn("parts", F.size("_of")).withColumn("part", F.explode("_of"))
+    mine = F.transform(F.filter("_posts", lambda p: p["part"] == F.col("part")), lambda p: p["post"])
+    known = [c for c in _names(_FACTS) if c in page_rows.columns]
+    return rows.select(*known, "parts", "part", mine.alias("posts"))
+
+
+def stream_page_states(page_rows: DataFrame, delay_ms: int = 0, parts: int = PARTS) -> DataFrame:
     """Page states of arriving pages, each run in the order of ``page_seq``.
 
-    A page that arrives after a later one of its run was handled is passed on with
-    ``late`` set and without counts.
+    A page waits ``delay_ms`` for pages that stand before it in its run, once where its
+    posts are counted and once where its counts meet. One that comes later than that,
+    after a page behind it was handled, is passed on with ``late`` set and without counts.
+    Without a delay pages are handled as each batch brings them.
     """
     page_rows.sparkSession.conf.set(*_STATE_STORE)
-    return page_rows.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=_PageStates(), outputStructType=_STATE, outputMode="Append", timeMode="None"
+    timers = "ProcessingTime" if delay_ms else "None"
+    counted = in_parts(page_rows, parts).groupBy("run_id", "part").transformWithStateInPandas(
+        statefulProcessor=_NewPosts(delay_ms), outputStructType=_COUNTED, outputMode="Append", timeMode=timers
+    )
+    return counted.groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=_PageStates(delay_ms), outputStructType=_STATE, outputMode="Append", timeMode=timers
     )
 
 
-def stream_stop(page_rows: DataFrame, **caps) -> DataFrame:
+def stream_stop(page_rows: DataFrame, delay_ms: int = 0, **caps) -> DataFrame:
     """Page states with ``stop_code``; nothing of a run comes after its first stop.
 
-    The rules are the columns of the batch form.
+    The rules are those of the batch form; ``delay_ms`` as in ``stream_page_states``.
     """
-    coded = with_stop_code(stream_page_states(page_rows), **caps).withColumn(
+    coded = with_stop_code(stream_page_states(page_rows, delay_ms), **caps).withColumn(
         "stop_code", F.when(~F.col("late"), F.col("stop_code"))
     )
     return coded.groupBy("run_id").transformWithStateInPandas(

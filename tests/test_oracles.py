@@ -1,7 +1,4 @@
-"""Registered queries against their oracles on the smallest driver tables.
-
-By default a query of each kind; ``FEEDFRAME_ALL=1`` runs all of them.
-"""
+"""All registered queries against their oracles on the smallest driver tables."""
 
 import os
 
@@ -11,7 +8,6 @@ from checks import ORACLES, QUERIES
 from checks.compare import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
-SOME = ["prj_4_flatten_posts", "flt_6_postprocess", "rte_2_feed_posts", "pag_15_truncate_at_stop", "gen_6_assets", "snk_9_save_runs", "rpt_2_to_recollect"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the driver tables")
 
@@ -21,7 +17,7 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(QUERIES) if os.environ.get("FEEDFRAME_ALL") else SOME)
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_its_oracle(spark, duck, name):
     good, note, _ = compare(spark, duck, name, SF_DIR)
     assert good, note

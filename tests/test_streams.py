@@ -88,3 +88,45 @@ def test_empty_batch_reaches_no_sink(spark):
     called = []
     ff.fan_out([lambda batch, n: called.append(n)])(spark.createDataFrame([], "raw string"), 0)
     assert called == []
+
+
+def test_pages_that_overtake_one_another_wait_for_their_order(spark, tmp_path):
+    """Files in any order, a page each, over several batches: the states of the batch form."""
+    import time
+
+    source = tmp_path / "in"
+    source.mkdir()
+    ids = [("1", "2"), ("2",), ("3", "1"), ("4",), ("4",), ("5", "6"), ("7",)]
+    pages = [page(n, *these, cursor=f"c{n}") for n, these in enumerate(ids)]
+    stream = ff.stream_pages(spark, str(source), max_files=2).withColumn("endpoint", F.lit("UserTimeline")).withColumn("start_unix", F.lit(0).cast("bigint"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    states = ff.stream_page_states(ff.stream_page_rows(stream), delay_ms=12_000)
+    query = states.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="300 milliseconds").start(str(tmp_path / "out"))
+
+    def rows_so_far():
+        return spark.read.schema(states.schema).parquet(str(tmp_path / "out")).count() if (tmp_path / "out").exists() else 0
+
+    def wait_for(n):
+        end = time.time() + 120
+        while rows_so_far() < n and time.time() < end:
+            assert query.isActive, query.exception()
+            time.sleep(1)
+
+    try:
+        # A stream with timers always has another batch, so there is no waiting for its end.
+        for n, at in enumerate((2, 0, 1, 6, 4, 3, 5)):
+            put(source, str(n), pages[at])
+        wait_for(len(pages))
+        put(source, "late", pages[3])
+        wait_for(len(pages) + 1)
+    finally:
+        query.stop()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = spark.read.schema(states.schema).parquet(str(tmp_path / "out"))
+    assert [r.page_seq for r in got.where("late").collect()] == [3]
+    rows = [(r.page_seq, r.iter_index, r.all_count, r.cursor_sent, r.no_progress_streak) for r in got.where("not late").orderBy("page_seq").collect()]
+    frame = spark.createDataFrame(pages, ff.PAGE_SCHEMA)
+    parsed = ff.parse_responses(frame)
+    counted = ff.with_page_stats(ff.page_facts(parsed), ff.page_stats(ff.dedup_posts(ff.route_posts(ff.payload_rows(parsed)))))
+    assert rows == [(r.page_seq, r.iter_index, r.all_count, r.cursor_sent, r.no_progress_streak) for r in ff.page_state(counted).orderBy("page_seq").collect()]
