@@ -291,18 +291,18 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BYTES_SQL = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(greatest(strlen(h) // 2 - 99, 0))) AS i FROM d)),
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, b[i + 1 : i + 100] AS s FROM (SELECT doc_id, b, unnest(range(greatest(n - 99, 0))) AS i FROM d)),
 f AS (SELECT s, min((doc_id, i)) AS first FROM w GROUP BY s HAVING count(*) > 1),
 r AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE (doc_id, i) > first),
 g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER o + 100 THEN 0 ELSE 1 END AS new FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
-p AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS z FROM n GROUP BY doc_id, span),
+m AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+p AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS z FROM m GROUP BY doc_id, span),
 k AS (SELECT doc_id, coalesce(lag(z) OVER o, 0) AS a, a AS z, z - a AS gone FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY a)),
-t AS (SELECT d.doc_id, string_agg(substr(h, 2 * k.a + 1, 2 * (k.z - k.a)), '' ORDER BY k.a) || substr(any_value(h), 2 * max(k.z + gone) + 1) AS kept,
+t AS (SELECT d.doc_id, string_agg(hex(b[k.a + 1 : k.z]), '' ORDER BY k.a) || hex(any_value(b)[CAST(max(k.z + gone) + 1 AS BIGINT) : CAST(any_value(n) AS BIGINT)]) AS kept,
       sum(gone) AS n_removed, count(*) AS n_spans FROM d JOIN k USING (doc_id) GROUP BY d.doc_id)
-SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       CASE WHEN kept IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256
 FROM d LEFT JOIN t USING (doc_id)
 """
 
