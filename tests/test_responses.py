@@ -164,6 +164,26 @@ def cases():
     ]
 
 
+def test_searches_of_odd_bodies(spark, logged):
+    """Strings that look like objects, deep nesting, several payloads, keys with odd names."""
+    deep = {"next_max_id": "deep", "page_info": {"end_cursor": "E", "has_next_page": True}}
+    for _ in range(60):
+        deep = {"x": [1, deep, "{"]}
+    bodies = [
+        json.dumps({"data": {"a": 1}}) + "\n" + json.dumps({"data": "{oops"}),
+        {"data": deep},
+        {"data": {"z": {"page_info": {"end_cursor": "first", "has_next_page": True}}, "a": {"page_info": {"end_cursor": "second", "has_next_page": False}}}},
+        {"data": {"t": '{"page_info":{"end_cursor":"text"}}', "a b.c": [{"page_info": {"end_cursor": "odd name"}}]}},
+        json.dumps({"data": {"next_max_id": "one"}}) + "\n" + json.dumps({"data": {"q": [{"next_max_id": "two"}, {"r": {"next_max_id": "three"}}]}}),
+        {"data": {"next_max_id": None, "more_available": 1}},
+    ]
+    parsed = ff.parse_responses(logged(*bodies))
+    info = {r.page_seq: (r.end_cursor, r.has_next_page) for r in ff.page_info(parsed).collect()}
+    assert info == {0: (None, False), 1: ("E", True), 2: ("first", True), 3: ("odd name", False), 4: (None, False), 5: (None, False)}
+    v1 = {r.page_seq: (r.end_cursor, r.has_next_page) for r in ff.v1_page_info(parsed).collect()}
+    assert v1 == {0: (None, False), 1: ("deep", True), 2: (None, False), 3: (None, False), 4: ("three", True), 5: (None, True)}
+
+
 def test_each_stop_rule(spark):
     rules = cases()
     rows = [tuple({**BASE, **change}.values()) for _, change, _ in rules]
