@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedframe.llm.words import CHUNK_BYTES, KeyFilter, _power_tables, buffers, mixed, salted, signed
+from feedframe.llm.words import KeyFilter, _power_tables, buffers, mixed, salted, signed
 from feedframe.session import materialize, release
 
+#: Bytes of text looked at together; a longer single text is looked at alone.
+PART_BYTES = 1 << 18
 #: Bytes of a window, of a gram of the first digit, and of a digit of the last passes.
 WINDOW, GRAM, DIGIT = 100, 40, 25
 #: Runs of a bin that one task sorts, at most; bytes of runs that it sorts at once, about.
@@ -45,11 +47,11 @@ _LOW = np.uint64(0xFFFFFFFF)
 
 
 def parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Number of the first text, bytes and offsets of about ``CHUNK_BYTES`` of whole texts at a time."""
+    """Number of the first text, bytes and offsets of about ``PART_BYTES`` of whole texts at a time."""
     data, offsets = buffers(column)
     first, n = 0, len(offsets) - 1
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, side="right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + PART_BYTES, side="right")) - 1
         last = min(max(last, first + 1), n)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
