@@ -14,7 +14,7 @@ SF_DIR = "/root/testdata/sf0.001"
 SOME = (
     "src_1_document_posts src_4_read_folder src_5_read_runs rte_2_feed_posts prj_4_flatten_posts flt_1_between_dates flt_6_postprocess join_1_handle_user_ids "
     "agg_1_dedup_posts pag_1_page_info pag_2_deep_first pag_3_v1_page_info pag_15_truncate_at_stop top_1_best_video top_5_sort_inputs gen_6_assets gen_8_post_links "
-    "snk_1_write_csv snk_7_flatten_to_one_target snk_8_flatten_folder snk_9_save_runs str_2_stream_posts rpt_2_to_recollect pln_1_rebuild_runs_results pln_1_rebuild_runs_posts"
+    "snk_1_write_csv snk_7_flatten_to_one_target snk_8_flatten_folder snk_9_save_runs str_2_stream_posts rpt_2_to_recollect"
 ).split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the driver tables")
