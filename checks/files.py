@@ -239,9 +239,13 @@ def src_4_read_folder(spark, sf):
 
 # ---- streams ----------------------------------------------------------------
 def _stream(spark, sf, table, sql):
-    """A driver table as a stream of files, through a derivation."""
-    schema = a.table(spark, sf, table).schema
-    source = ff.stream_pages(spark, sf, fmt="parquet", schema=schema, glob=f"{table}.parquet")
+    """A driver table, one file or a folder of them, as a stream of files, through a derivation."""
+    schema, path = a.table(spark, sf, table).schema, f"{sf}/{table}.parquet"
+    # A stream reads folders: that of the table, or for one file the folder it lies in.
+    folder, glob = (path, None) if files.is_directory(spark, path) else (sf, f"{table}.parquet")
+    source = ff.stream_pages(spark, folder, fmt="parquet", schema=schema, glob=glob)
+    # The text made of a row is much larger than the row: all tasks share in it.
+    source = source.repartition(spark.sparkContext.defaultParallelism)
     return spark.sql(sql.replace(f"FROM {table}", "FROM {source}"), source=source)
 
 
