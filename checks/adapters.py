@@ -21,17 +21,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derive(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    """Run a derivation over driver tables. Spark reads them from ``sf_dir``.
+#: Rows of a driver table that one task makes text of, about.
+TASK_ROWS = 50_000
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table over enough tasks for the text that is made of them, much larger than they are.
 
-    A small driver table is one file that only one task can read; its rows are spread
-    then, since the text made of them is much larger. Tables of many splits stay as read.
+    Splits of a Parquet file go by bytes, its rows by row groups: of a file of many splits
+    one task may get all rows. What tasks get is counted, which reads no column. Tables
+    that the files themselves spread well stay as read.
     """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    dealt = rows.groupBy(F.spark_partition_id()).count().agg(F.count(F.lit(1)), F.max("count"), F.sum("count")).first()
+    tasks, most, total = dealt[0], dealt[1] or 0, dealt[2] or 0
+    if tasks * 2 > cores and most <= TASK_ROWS:
+        return rows
+    return rows.repartition(max(cores, -(-total // TASK_ROWS)))
+
+
+def derive(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
+    """Run a derivation over driver tables, the first of them spread. Spark reads them from ``sf_dir``."""
     frames = {n: table(spark, sf_dir, n) for n in tables}
-    cores = spark.sparkContext.defaultParallelism
-    first = tables[0]
-    if frames[first].rdd.getNumPartitions() * 2 <= cores:
-        frames[first] = frames[first].repartition(cores)
+    frames[tables[0]] = spread(frames[tables[0]])
     for n in tables:
         sql = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", sql)
     return spark.sql(sql, **frames)

@@ -18,3 +18,19 @@ def test_streams_read_a_table_that_is_a_folder(spark, tmp_path, name):
     found = QUERIES[name](spark, f"{tmp_path}/folder")
     counted = found.agg(F.sum("posts")).first()[0] if "posts" in found.columns else found.count()
     assert counted == posts * (2 if name == "str_4_fan_out" else 1) > 0
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path, monkeypatch):
+    """A file of many splits whose rows all lie in one row group."""
+    monkeypatch.setattr(a, "TASK_ROWS", 200)
+    spark.range(2000).withColumnRenamed("id", "event_id").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    size = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(size, "1k")
+    try:
+        assert a.table(spark, str(tmp_path), "events").rdd.getNumPartitions() > 4
+        rows = a.derive(spark, str(tmp_path), "SELECT event_id FROM events", "events")
+        tasks = rows.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset(size)
+    assert sum(t["count"] for t in tasks) == 2000
+    assert len(tasks) == 10 and max(t["count"] for t in tasks) < 300
