@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedframe.operators.running import running
+from feedframe.session import MOVED_BY_TASKS
 
 POSTS_PER_DOCUMENT = 10_000
 
@@ -65,10 +66,14 @@ def save_runs(documents: DataFrame, path: str, file_per_run: bool = False) -> No
     """Write documents as JSON, one per line, each run's together and in its order.
 
     With ``file_per_run`` each document gets a file of its own in the folder: handy for a
-    few runs, but millions of runs make millions of files.
+    few runs, but millions of runs make millions of files. Tasks then move their files into
+    place themselves, as the driver would take them one by one; a write that fails may
+    leave some, without the mark of a whole one (``_SUCCESS``).
     """
     ordered = documents.repartitionByRange("run_id", "part").sortWithinPartitions("run_id", "part")
-    writer = ordered.write.option("maxRecordsPerFile", 1) if file_per_run else ordered.write
+    writer = ordered.write
+    if file_per_run:
+        writer = writer.option("maxRecordsPerFile", 1).options(**MOVED_BY_TASKS)
     writer.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
+from itertools import islice
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from feedframe.constants import OUTPUT_SUFFIXES
 from feedframe.operators.flatten import flatten_posts
-from feedframe.session import materialize, release
-from feedframe.sources.files import is_directory, list_inputs, read_posts
+from feedframe.session import MOVED_BY_TASKS, materialize, release
+from feedframe.sources.files import inputs, is_directory, is_empty, read_posts
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -71,7 +72,8 @@ def write_flat(flat: DataFrame, targets: dict[str, str], partition_by: tuple[str
 
     The table is computed once: with several formats it is stored, and each is written
     from there. Written by ``partition_by``, a target keeps its other partitions: only
-    those that the table has are replaced.
+    those that the table has are replaced. Into a target with nothing to replace, tasks move
+    their partitions themselves, as the driver would take them one by one.
     """
     counted = Observation()
     source = stored = flat.observe(counted, F.count(F.lit(1)).alias("rows"))
@@ -80,7 +82,11 @@ def write_flat(flat: DataFrame, targets: dict[str, str], partition_by: tuple[str
     for fmt, target in targets.items():
         writer = _writer(source, fmt)
         if partition_by:
-            writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
+            writer = writer.partitionBy(*partition_by)
+            if is_empty(flat.sparkSession, target):
+                writer = writer.mode("append").options(**MOVED_BY_TASKS)
+            else:
+                writer = writer.option("partitionOverwriteMode", "dynamic")
         writer.save(target)
     release(stored)
     return counted.get["rows"] * len(targets)
@@ -113,7 +119,7 @@ def flatten_paths(
     """
     formats = _formats(fmt)
     folder = is_directory(spark, input_path)
-    several = folder and len(list_inputs(spark, input_path)) > 1
+    several = folder and len(list(islice(inputs(spark, input_path), 2))) > 1
     named = output is not None and not output.endswith("/") and _file_like(output)
     if concat and not named:
         raise ValueError("concat requires an output named like a file")

@@ -13,6 +13,7 @@ one task, or store big captures as plain JSON lines.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,19 +37,31 @@ class Runs(NamedTuple):
 
 
 def _inside(path: str, extensions: tuple[str, ...]) -> str:
-    """The files of a folder's own level with one of the extensions, as a path of their own.
+    """A pattern for the files of a folder's own level with one of the extensions; hidden ones are none."""
+    return f"{path.rstrip('/')}/[^_.]{_named(extensions)}"
 
-    Named file by file, folders below are not looked into, and none of them is taken for a
-    partition of the table.
-    """
-    return f"{path.rstrip('/')}/*{{{','.join(extensions)}}}"
 
+def _named(extensions: tuple[str, ...]) -> str:
+    return f"*{{{','.join(extensions)}}}"
 
-def list_inputs(spark: SparkSession, path: str, extensions=INPUT_EXTENSIONS) -> list[str]:
-    """The input files of a directory (its own level only), sorted."""
+
+def inputs(spark: SparkSession, path: str, extensions=INPUT_EXTENSIONS) -> Iterator[str]:
+    """The input files of a directory (its own level only), in no order, as far as they are asked for."""
     place = spark._jvm.org.apache.hadoop.fs.Path(_inside(path, extensions))
     found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
-    return sorted(f.getPath().toString() for f in found if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
+    return (f.getPath().toString() for f in found if f.isFile())
+
+
+def list_inputs(spark: SparkSession, path: str, extensions=INPUT_EXTENSIONS) -> list[str]:
+    """The input files of a directory (its own level only), sorted."""
+    return sorted(inputs(spark, path, extensions))
+
+
+def _has_folders(spark: SparkSession, path: str) -> bool:
+    """Whether a directory has others in it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    summary = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place)
+    return summary.getDirectoryCount() > 1
 
 
 def is_directory(spark: SparkSession, path: str) -> bool:
@@ -58,8 +71,26 @@ def is_directory(spark: SparkSession, path: str) -> bool:
     return files.exists(place) and files.getFileStatus(place).isDirectory()
 
 
-def _text(spark: SparkSession, path: str, whole: bool) -> DataFrame:
-    return spark.read.text(path, wholetext=whole).select(
+def is_empty(spark: SparkSession, path: str) -> bool:
+    """Whether there is nothing at ``path``, or a folder with nothing in it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return not files.exists(place) or len(files.listStatus(place)) == 0
+
+
+def _text(spark: SparkSession, path: str, whole: bool, extensions: tuple[str, ...] | None = None) -> DataFrame:
+    """Texts of a file, or with ``extensions`` of the files of a folder's own level.
+
+    A folder is read as one path: named file by file, each would be looked up by itself and
+    compared with all others in every step of the plan. Only where folders lie below, which
+    must not be taken for partitions of the table, the files are named.
+    """
+    reader = spark.read
+    if extensions and _has_folders(spark, path):
+        path = _inside(path, extensions)
+    elif extensions:
+        reader = reader.option("pathGlobFilter", _named(extensions))
+    return reader.text(path, wholetext=whole).select(
         F.col("_metadata.file_path").alias("src_file"),
         F.col("_metadata.file_block_start").alias("src_block"),
         F.col("value"),
@@ -97,19 +128,19 @@ def document_posts(text: Column, strict_envelope: bool = False) -> Column:
     )
 
 
-def _documents(spark, path, strict_envelope, mode) -> DataFrame:
+def _documents(spark, path, strict_envelope, mode, extensions=None) -> DataFrame:
     text = strip(F.col("value"))
     documents = computed(
-        _text(spark, path, whole=True), value=_checked(is_json(text), text, mode)
+        _text(spark, path, True, extensions), value=_checked(is_json(text), text, mode)
     )
     posts = exploded(documents, document_posts(F.col("value"), strict_envelope), "pos", "raw")
     return posts.select("src_file", F.lit(0).cast("bigint").alias("src_block"), F.col("pos").cast("bigint").alias("pos"), "raw")
 
 
-def _lines(spark, path, mode) -> DataFrame:
+def _lines(spark, path, mode, extensions=None) -> DataFrame:
     # The id grows along the lines of a task, and a task reads a block from its start
     # to its end, so (src_file, src_block, pos) is the order of the lines.
-    lines = _text(spark, path, whole=False).withColumn("value", strip(F.col("value")))
+    lines = _text(spark, path, False, extensions).withColumn("value", strip(F.col("value")))
     value = F.col("value")
     posts = computed(lines.where(value != ""), raw=_checked(is_json(value), value, mode))
     return posts.where(F.col("raw").isNotNull()).select(
@@ -138,14 +169,14 @@ def read_posts(
             else _documents(spark, path, strict_envelope, mode)
         )
     else:
-        inputs = list_inputs(spark, path)
-        if not inputs:
+        documents, lines_ = (any(True for _ in inputs(spark, path, e)) for e in (DOCUMENT_EXTENSIONS, LINE_EXTENSIONS))
+        if not documents and not lines_:
             raise ValueError(f"No .json/.jsonl result files found in {path}")
         parts = []
-        if strict_envelope or any(f.endswith(DOCUMENT_EXTENSIONS) for f in inputs):
-            parts.append(_documents(spark, _inside(path, DOCUMENT_EXTENSIONS), strict_envelope, mode))
-        if not strict_envelope and any(f.endswith(LINE_EXTENSIONS) for f in inputs):
-            parts.append(_lines(spark, _inside(path, LINE_EXTENSIONS), mode))
+        if strict_envelope or documents:
+            parts.append(_documents(spark, path, strict_envelope, mode, DOCUMENT_EXTENSIONS))
+        if not strict_envelope and lines_:
+            parts.append(_lines(spark, path, mode, LINE_EXTENSIONS))
         posts = concat_inputs(*parts)
     return posts.select("src_file", input_stem(F.col("src_file")).alias("src_stem"), "src_block", "pos", "raw")
 
@@ -201,8 +232,8 @@ def read_runs(spark: SparkSession, path: str, lines: bool = False, mode: str = "
     A run saved in several documents, as ``save_runs`` does for long runs, comes back as
     one run: its documents carry the same ``run_id``, and its rows their ``pos`` in it.
     """
-    source = _inside(path, DOCUMENT_EXTENSIONS) if is_directory(spark, path) else path
-    text = _text(spark, source, whole=not lines).withColumn("value", strip(F.col("value")))
+    extensions = DOCUMENT_EXTENSIONS if is_directory(spark, path) else None
+    text = _text(spark, path, not lines, extensions).withColumn("value", strip(F.col("value")))
     if lines:
         text = text.withColumn("place", F.concat_ws(".", "src_block", F.monotonically_increasing_id()))
     good = is_json(F.col("value")) & F.col("value").startswith("{")
