@@ -58,12 +58,10 @@ def text_at(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "string")
 
 
-def items_at(value: Column, path: str) -> Column:
-    """Array at a path; empty when there is none."""
-    return F.coalesce(
-        F.try_variant_get(value, path, "array<variant>"),
-        F.array().cast("array<variant>"),
-    )
+def items_at(value: Column, path: str, item: str = "variant") -> Column:
+    """Array at a path, each item read as type ``item``; empty when there is none."""
+    kind = f"array<{item}>"
+    return F.coalesce(F.try_variant_get(value, path, kind), F.array().cast(kind))
 
 
 def has_value(value: Column) -> Column:
@@ -76,6 +74,21 @@ def counts(value: Column) -> Column:
     return has_value(value) & ~F.to_json(value).isin("null", "false", "0", '""', "[]", "{}")
 
 
+def is_object_at(value: Column, path: str) -> Column:
+    """Whether a VARIANT has a JSON object at a path. Copies nothing of what that holds."""
+    return F.try_variant_get(value, path, "struct<x:boolean>").isNotNull()
+
+
 def is_object(value: Column) -> Column:
-    """Whether a VARIANT is a JSON object. Looks at its own keys only."""
-    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+    """Whether a VARIANT is a JSON object."""
+    return is_object_at(value, "$")
+
+
+def keys_of(value: Column) -> Column:
+    """Keys of a VARIANT object, null for any other value. Copies nothing of what they hold."""
+    return F.map_keys(F.try_variant_get(value, "$", "map<string,boolean>"))
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that it names more than once and that is worked out once, also inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -18,7 +18,7 @@ from feedframe.constants import (
     SUCCESS,
 )
 from feedframe.functions.once import computed
-from feedframe.functions.json import child, counts, has_value, is_object, text_at
+from feedframe.functions.json import child, counts, has_value, keys_of, text_at
 from feedframe.functions.posts import post_timestamp
 from feedframe.functions.walk import last_branch_first, shallowest
 from feedframe.operators.filters import is_rate_limited
@@ -28,8 +28,8 @@ from feedframe.sources.responses import error_text, payload_nodes
 
 # ---- cursors ---------------------------------------------------------------
 def _is_page_info(info: Column) -> Column:
-    keyed = child(info, "$.end_cursor").isNotNull() | child(info, "$.has_next_page").isNotNull()
-    return F.coalesce(is_object(info) & keyed, F.lit(False))
+    keys = F.array(F.lit("end_cursor"), F.lit("has_next_page"))
+    return F.coalesce(F.arrays_overlap(keys_of(info), keys), F.lit(False))
 
 
 def page_info(parsed: DataFrame) -> DataFrame:
@@ -40,14 +40,17 @@ def page_info(parsed: DataFrame) -> DataFrame:
     searched level by level in the order of the ``body``.
     """
     payload = F.when(F.size("payloads") == 1, F.get("payloads", F.lit(0)))
+    # Of what stands under a key only the page info is read, not all of it.
     under = F.transform(
-        F.map_values(F.try_variant_get(payload, "$", "map<string,variant>")), lambda v: child(v, "$.page_info")
+        F.map_values(F.try_variant_get(payload, "$", "map<string,struct<page_info:variant>>")), lambda v: v["page_info"]
     )
     places = computed(parsed, _top=child(payload, "$.page_info"), _under=F.filter(under, _is_page_info))
     known = F.when(_is_page_info(F.col("_top")), F.col("_top")).when(
         F.size("_under") == 1, F.get("_under", F.lit(0))
     )
-    unknown = (F.size("payloads") > 0) & F.col("_known").isNull()
+    # A body without the name, and without an escape that could spell it, has no such key.
+    named = F.contains("body", F.lit("page_info")) | F.contains("body", F.lit("\\"))
+    unknown = (F.size("payloads") > 0) & F.col("_known").isNull() & named
     searched = computed(computed(places, _known=known), _nodes=F.when(unknown, payload_nodes(F.col("body"))))
     found = shallowest(F.col("_nodes").isNotNull(), F.coalesce("_nodes", F.array()), "$.page_info", _is_page_info)
     settled = computed(searched, _info=F.coalesce("_known", found))

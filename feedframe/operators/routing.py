@@ -22,7 +22,7 @@ from feedframe.constants import (
     USER_FEED_KEY,
 )
 from feedframe.functions.once import computed, exploded
-from feedframe.functions.json import child, has_value, is_object, items_at, text_at
+from feedframe.functions.json import bound, child, has_value, is_object, is_object_at, items_at, keys_of, text_at
 
 # First match wins, so the order is part of the rule.
 _ROUTES = (
@@ -42,17 +42,17 @@ def _any(tests) -> Column:
     return reduce(Column.__or__, tests)
 
 
-def _has_key(payload: Column, key: str) -> Column:
-    return child(payload, f"$.{key}").isNotNull()
-
-
 def route_of(payload: Column) -> Column:
     """Name of the route of a payload, by the keys it has."""
-    (name, keys), *rest = _ROUTES
-    route = F.when(_any(_has_key(payload, k) for k in keys), name)
-    for name, keys in rest:
-        route = route.when(_any(_has_key(payload, k) for k in keys), name)
-    return route.otherwise("unknown")
+
+    def by_keys(present: Column) -> Column:
+        (name, keys), *rest = _ROUTES
+        route = F.when(_any(F.array_contains(present, k) for k in keys), name)
+        for name, keys in rest:
+            route = route.when(_any(F.array_contains(present, k) for k in keys), name)
+        return route.otherwise("unknown")
+
+    return bound(keys_of(payload), by_keys)
 
 
 def route(payloads: DataFrame) -> DataFrame:
@@ -62,11 +62,11 @@ def route(payloads: DataFrame) -> DataFrame:
 
 def has_post_connection(payload: Column) -> Column:
     """Whether a payload carries a post connection object, empty or not."""
-    return _any(F.coalesce(is_object(child(payload, f"$.{k}")), F.lit(False)) for k in CONNECTION_KEYS)
+    return _any(is_object_at(payload, f"$.{k}") for k in CONNECTION_KEYS)
 
 
 def _feed_nodes(payload: Column, key: str) -> Column:
-    nodes = F.transform(items_at(payload, f"$.{key}.edges"), lambda e: child(e, "$.node"))
+    nodes = F.transform(items_at(payload, f"$.{key}.edges", "struct<node:variant>"), lambda e: e["node"])
 
     def kept(node: Column) -> Column:
         typename = text_at(node, "$.__typename")
@@ -77,11 +77,9 @@ def _feed_nodes(payload: Column, key: str) -> Column:
 
 
 def _search_items(payload: Column) -> Column:
-    nodes = F.transform(items_at(payload, f"$.{SEARCH_KEY}.edges"), lambda e: child(e, "$.node"))
-    grids = F.filter(
-        nodes, lambda n: F.coalesce(text_at(n, "$.__typename") == SEARCH_GRID_TYPENAME, F.lit(False))
-    )
-    return F.flatten(F.transform(grids, lambda g: items_at(g, "$.items")))
+    edges = items_at(payload, f"$.{SEARCH_KEY}.edges", "struct<node:struct<__typename:string,items:array<variant>>>")
+    grids = F.filter(edges, lambda e: F.coalesce(e["node"]["__typename"] == SEARCH_GRID_TYPENAME, F.lit(False)))
+    return F.flatten(F.transform(grids, lambda e: F.coalesce(e["node"]["items"], F.array().cast(_NONE))))
 
 
 def post_nodes(route: Column, payload: Column) -> Column:
@@ -144,13 +142,15 @@ def _gathered(nodes) -> Column:
     """Array of ``(payload_idx, pos, route, raw)`` over all payloads of a page."""
 
     def of_payload(payload: Column, i: Column) -> Column:
-        name = route_of(payload)
-        return F.transform(
-            nodes(name, payload),
-            lambda node, j: F.struct(
-                i.alias("payload_idx"), j.alias("pos"), name.alias("route"), F.to_json(node).alias("raw")
-            ),
-        )
+        def routed(name: Column) -> Column:
+            return F.transform(
+                nodes(name, payload),
+                lambda node, j: F.struct(
+                    i.alias("payload_idx"), j.alias("pos"), name.alias("route"), F.to_json(node).alias("raw")
+                ),
+            )
+
+        return bound(route_of(payload), routed)
 
     return F.flatten(F.transform("payloads", of_payload))
 

@@ -343,3 +343,38 @@ def test_validate_requests(spark):
         "Nope": (False, "unsupported endpoint: Nope"),
         "Chaining": (False, "missing required fields: handle"),
     }
+
+
+def test_routes_nodes_and_page_info_work_a_payload_out_once(logged):
+    """What a parse asks of each payload is bound once; no part of it is copied to look at its keys."""
+    from feedframe.functions.json import is_object
+    from feedframe.operators.routing import has_post_connection, route_of
+
+    feed = "xdt_api__v1__feed__user_timeline_graphql_connection"
+    parsed = ff.parse_responses(logged({"data": {feed: {"edges": []}}}))
+    plan = parsed.select(route_of(F.get("payloads", F.lit(0))), F.exists("payloads", has_post_connection), F.exists("payloads", is_object))
+    text = plan._jdf.queryExecution().analyzed().toString()
+    assert text.count("map<string,variant>") == 0 and "MapType(StringType,VariantType" not in text
+    assert text.count("MapType(StringType,BooleanType") == 1
+
+
+def test_odd_edges_keep_their_nodes(logged):
+    """Edges that are no objects, nodes that are none, keys in another case, and page infos spelt by an escape."""
+    feed = "xdt_api__v1__feed__user_timeline_graphql_connection"
+    serp = "xdt_fbsearch__top_serp_graphql"
+    post = {"__typename": "XDTMediaDict", "pk": "1"}
+    edges = [{"node": post}, None, 3, "s", [], {"Node": post}, {"node": "x"}, {"node": {"__typename": "XDTFeedItem", "media": None}}, {"node": {"__typename": "XDTFeedItem", "media": {"pk": "2"}}}]
+    grid = {"node": {"__typename": "XDTTopSerpMediaGridUnit", "items": [{"pk": "3"}, "no", None]}}
+    bodies = [
+        {"data": {feed: {"edges": edges}}},
+        {"data": {serp: {"edges": [grid, None, {"node": 5}, {"node": {"__typename": "XDTTopSerpMediaGridUnit", "items": "none"}}, {"Node": grid["node"]}]}}},
+        {"data": {feed: None}},
+        {"data": {feed: []}},
+        '{"data":{"deep":{"er":{"page\\u005finfo":{"end_cursor":"E","has_next_page":true}}}}}',
+        {"data": {"a": {"page_info": {"end_cursor": None}}, "b": "page_info"}},
+    ]
+    parsed = ff.parse_responses(logged(*bodies))
+    posts = ff.route_posts(ff.payload_rows(parsed)).orderBy("page_seq", "pos").collect()
+    assert [(r.page_seq, r.pos, r.route) for r in posts] == [(0, 0, "user_feed"), (0, 1, "user_feed"), (1, 0, "search")]
+    facts = {r.page_seq: (r.connection_present, r.end_cursor, r.has_next_page) for r in ff.page_facts(parsed).collect()}
+    assert facts == {0: (True, None, False), 1: (True, None, False), 2: (False, None, False), 3: (False, None, False), 4: (False, "E", True), 5: (False, None, False)}
