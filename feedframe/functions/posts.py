@@ -27,7 +27,11 @@ def typed_post(raw: Column) -> Column:
 
 def post_id(raw: Column) -> Column:
     """Id of a post node, flat or wrapped: ``pk``, else ``id``, else the same of ``media``."""
-    keys = F.from_json(raw, POST_KEYS_SCHEMA)
+    return id_of(F.from_json(raw, POST_KEYS_SCHEMA))
+
+
+def id_of(keys: Column) -> Column:
+    """The same of a post read as ``POST_KEYS_SCHEMA``."""
 
     def own(node: Column) -> Column:
         return F.coalesce(F.when(counts(node["pk"]), text_at(node["pk"], "$")), node["id"])
@@ -48,7 +52,11 @@ def post_timestamp(raw: Column, strict: bool = True) -> Column:
     without it ``taken_at`` counts, then ``media.taken_at``. With ``strict=False`` a null
     under the caption key falls back as if the key were missing.
     """
-    node = F.from_json(raw, POST_TIME_SCHEMA)
+    return time_of(F.from_json(raw, POST_TIME_SCHEMA), strict)
+
+
+def time_of(node: Column, strict: bool = True) -> Column:
+    """The same of a post read as ``POST_TIME_SCHEMA``."""
     created = child(node["caption"], "$.created_at")
     created_text = text_at(created, "$")
     fallback = F.coalesce(when_truthy(node["taken_at"]), node["media"]["taken_at"])

@@ -130,3 +130,34 @@ def test_pages_that_overtake_one_another_wait_for_their_order(spark, tmp_path):
     parsed = ff.parse_responses(frame)
     counted = ff.with_page_stats(ff.page_facts(parsed), ff.page_stats(ff.dedup_posts(ff.route_posts(ff.payload_rows(parsed)))))
     assert rows == [(r.page_seq, r.iter_index, r.all_count, r.cursor_sent, r.no_progress_streak) for r in ff.page_state(counted).orderBy("page_seq").collect()]
+
+
+def test_runs_that_share_a_state_key_are_kept_apart(spark, tmp_path, monkeypatch):
+    """All places in one state key, over several batches: the runs' states and stops are those of the batch form."""
+    from feedframe.streaming import stops as module
+
+    monkeypatch.setattr(module, "BUCKETS", 1)
+    source = tmp_path / "in"
+    source.mkdir()
+    runs = {"a": [("1", "2"), ("2",), ("3",)], "b": [("1",), ("1", None), ("1",)], "c": [("5",), ("6",), ("7",)]}
+    pages = [page(n, *ids, run=run, cursor=f"{run}{n}", more=(run, n) != ("c", 1)) for run, every in runs.items() for n, ids in enumerate(every)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    stream = ff.stream_pages(spark, str(source), schema=ff.PAGE_SCHEMA).withColumn("endpoint", F.lit("UserTimeline"))
+    stream = stream.withColumn("start_unix", F.when(F.col("run_id") != "b", F.lit(0).cast("bigint")))
+    stops = ff.stream_stop(ff.stream_page_rows(stream))
+    try:
+        for n in range(3):
+            put(source, str(n), *[p for p in pages if p["page_seq"] == n])
+            got = drain(spark, stops, tmp_path / "out")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert stops._jdf.queryExecution().analyzed().toString().count("bucket#") > 0
+    columns = ("run_id", "page_seq", "iter_index", "new_count", "all_count", "cursor_sent", "no_progress_streak", "stop_code")
+    frame = spark.createDataFrame(pages, ff.PAGE_SCHEMA).withColumn("endpoint", F.lit("UserTimeline"))
+    frame = frame.withColumn("start_unix", F.when(F.col("run_id") != "b", F.lit(0).cast("bigint")))
+    parsed = ff.parse_responses(frame)
+    new = ff.dedup_posts(ff.route_posts(ff.payload_rows(parsed)))
+    states = ff.with_stop_code(ff.page_state(ff.with_page_stats(ff.page_facts(parsed), ff.page_stats(new))))
+    batch = sorted(tuple(r) for r in ff.truncate_at_stop(states).select(*columns).collect())
+    assert len(batch) == 8 and sorted(tuple(r) for r in got.select(*columns).collect()) == batch
