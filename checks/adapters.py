@@ -58,6 +58,11 @@ def js(value: Column) -> Column:
     )
 
 
+def jq(value: Column) -> Column:
+    """JSON string of a column that has no characters to escape, ``null`` for null."""
+    return F.coalesce(F.concat(F.lit('"'), value.cast("string"), F.lit('"')), F.lit("null"))
+
+
 def jn(value: Column) -> Column:
     """JSON number or boolean of a column, ``null`` for null."""
     return F.coalesce(value.cast("string"), F.lit("null"))
@@ -386,14 +391,15 @@ SERP = "xdt_fbsearch__top_serp_graphql"
 def _post(id_: Column, taken_at: Column) -> Column:
     # A nested page info, which must not be taken for the page's own.
     deep = jkey("page_info", '{"end_cursor":"nested","has_next_page":true}')
-    return jo(__typename='"XDTMediaDict"', pk=js(id_.cast("string")), taken_at=jn(taken_at), clips_stream=deep)
+    return jo(__typename='"XDTMediaDict"', pk=jq(id_), taken_at=jn(taken_at), clips_stream=deep)
 
 
 def page_bodies(e: DataFrame, post=_post) -> DataFrame:
     """A2 page log with bodies, out of the derived columns (batch or stream)."""
     c = F.col
-    info = jo(end_cursor=js(c("end_cursor")), has_next_page=jn(c("has_next")))
-    nodes = [post(c("id0"), c("taken_at")), post(c("id1"), c("taken_at"))]
+    info = jo(end_cursor=jq(c("end_cursor")), has_next_page=jn(c("has_next")))
+    nodes = [c("_node0"), c("_node1")]
+    e = computed(e, _node0=post(c("id0"), c("taken_at")), _node1=post(c("id1"), c("taken_at")))
     feed_edges = F.when(c("id0").isNull(), F.lit("[]")).otherwise(ja(*[jkey("node", n) for n in nodes]))
     feed = jkey(FEED, nulled(~c("connected"), jo(edges=feed_edges, page_info=info)))
     grid = jkey("node", jo(__typename='"XDTTopSerpMediaGridUnit"', items=F.when(c("id0").isNull(), F.lit("[]")).otherwise(ja(*nodes))))

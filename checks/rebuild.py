@@ -53,7 +53,7 @@ def jo_user(handle):
 
 def _post(id_, taken_at, user):
     """Posts with an even id name their author, others have no author and no owner."""
-    return a.jo(__typename='"XDTMediaDict"', pk=a.js(id_.cast("string")), taken_at=a.jn(taken_at), user=F.when(id_ % 2 == 0, user))
+    return a.jo(__typename='"XDTMediaDict"', pk=a.jq(id_), taken_at=a.jn(taken_at), user=F.when(id_ % 2 == 0, user))
 
 
 def _named(user):

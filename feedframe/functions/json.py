@@ -29,7 +29,8 @@ def non_empty(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.trim(text, F.lit(BLANKS))
+    # Trimming counts all characters of a text; one that begins and ends as an object has no blanks to lose.
+    return F.when(text.startswith("{") & text.endswith("}"), text).otherwise(F.trim(text, F.lit(BLANKS)))
 
 
 def to_long(text: Column) -> Column:

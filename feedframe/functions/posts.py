@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedframe.constants import FEED_ITEM_TYPENAME, MEDIA_TYPENAME
+from feedframe.functions.once import computed
 from feedframe.functions.json import child, counts, text_at, to_long, truthy, when_truthy
 from feedframe.schemas import (
     OWNER_SCHEMA,
@@ -39,6 +40,13 @@ def id_of(keys: Column) -> Column:
     return F.coalesce(own(keys), own(keys["media"]))
 
 
+def with_post_id(posts: DataFrame) -> DataFrame:
+    """Rows of ``raw`` with their ``post_id``. In two steps: an id names what it reads several
+    times, and each time would be a parse."""
+    read = computed(posts, _keys=F.from_json("raw", POST_KEYS_SCHEMA))
+    return computed(read, post_id=id_of(F.col("_keys"))).drop("_keys")
+
+
 def seconds(text: Column) -> Column:
     """Unix seconds that a calendar can show, else null."""
     value = to_long(text)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedframe.functions.once import computed
-from feedframe.functions.posts import post_id
+from feedframe.functions.posts import with_post_id
 from feedframe.schemas import USER_SCHEMA
 
 
@@ -51,7 +51,7 @@ def new_posts(batch: DataFrame, seen: DataFrame) -> DataFrame:
 
     Posts without an id are always new.
     """
-    keyed = computed(batch, post_id=post_id(F.col("raw")))
+    keyed = with_post_id(batch)
     return keyed.join(seen.select("run_id", "post_id"), ["run_id", "post_id"], "left_anti").select(*batch.columns)
 
 

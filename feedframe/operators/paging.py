@@ -18,18 +18,19 @@ from feedframe.constants import (
     SUCCESS,
 )
 from feedframe.functions.once import computed
-from feedframe.functions.json import child, counts, has_value, keys_of, text_at
-from feedframe.functions.posts import post_timestamp
+from feedframe.functions.json import child, counts, has_value, text_at
+from feedframe.functions.posts import time_of
 from feedframe.functions.walk import last_branch_first, shallowest
 from feedframe.operators.filters import is_rate_limited
 from feedframe.operators.routing import has_post_connection
 from feedframe.operators.running import running
+from feedframe.schemas import POST_TIME_SCHEMA
 from feedframe.sources.responses import error_text, payload_nodes
 
 # ---- cursors ---------------------------------------------------------------
 def _is_page_info(info: Column) -> Column:
-    keys = F.array(F.lit("end_cursor"), F.lit("has_next_page"))
-    return F.coalesce(F.arrays_overlap(keys_of(info), keys), F.lit(False))
+    # By path: a map of its values would cast each to one type, and fail on each that is another.
+    return child(info, "$.end_cursor").isNotNull() | child(info, "$.has_next_page").isNotNull()
 
 
 def page_info(parsed: DataFrame) -> DataFrame:
@@ -121,8 +122,9 @@ def page_facts(parsed: DataFrame, carry: tuple[str, ...] = (), cursors=None) ->
 
 def page_stats(new: DataFrame) -> DataFrame:
     """Per page: new posts, those with a timestamp, the oldest timestamp among them."""
+    read = computed(new.select("run_id", "page_seq", "raw"), _post=F.from_json("raw", POST_TIME_SCHEMA))
     return (
-        new.withColumn("_ts", post_timestamp(F.col("raw")))
+        read.withColumn("_ts", time_of(F.col("_post")))
         .groupBy("run_id", "page_seq")
         .agg(
             F.count(F.lit(1)).alias("new_count"),

@@ -45,14 +45,10 @@ def _any(tests) -> Column:
 def route_of(payload: Column) -> Column:
     """Name of the route of a payload, by the keys it has."""
 
-    def by_keys(present: Column) -> Column:
-        (name, keys), *rest = _ROUTES
-        route = F.when(_any(F.array_contains(present, k) for k in keys), name)
-        for name, keys in rest:
-            route = route.when(_any(F.array_contains(present, k) for k in keys), name)
-        return route.otherwise("unknown")
-
-    return bound(keys_of(payload), by_keys)
+    # Each key is looked up once; asking for each known key among those present throws inside Spark on each that is.
+    ranks = F.create_map(*[F.lit(x) for rank, (_, keys) in enumerate(_ROUTES) for key in keys for x in (key, rank)])
+    first = F.array_min(F.transform(keys_of(payload), lambda key: F.try_element_at(ranks, key)))
+    return F.coalesce(F.get(F.array(*[F.lit(name) for name, _ in _ROUTES]), first), F.lit("unknown"))
 
 
 def route(payloads: DataFrame) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from feedframe.functions.once import computed
-from feedframe.functions.posts import post_id
+from feedframe.functions.posts import with_post_id
 from feedframe.operators.filters import is_rate_limited
 from feedframe.operators.routing import route_posts, route_users
 from feedframe.schemas import PAGE_SCHEMA
@@ -52,7 +51,7 @@ def stream_dedup(
     """
     # A post without id gets a key of its own: where it stands.
     place = F.concat_ws("/", F.lit("\0"), "page_seq", "payload_idx", "pos")
-    keyed = computed(posts, post_id=post_id(F.col("raw"))).withColumn("_key", F.coalesce("post_id", place))
+    keyed = with_post_id(posts).withColumn("_key", F.coalesce("post_id", place))
     if event_time and delay:
         unique = keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["run_id", "_key"])
     else:

@@ -378,3 +378,17 @@ def test_odd_edges_keep_their_nodes(logged):
     assert [(r.page_seq, r.pos, r.route) for r in posts] == [(0, 0, "user_feed"), (0, 1, "user_feed"), (1, 0, "search")]
     facts = {r.page_seq: (r.connection_present, r.end_cursor, r.has_next_page) for r in ff.page_facts(parsed).collect()}
     assert facts == {0: (True, None, False), 1: (True, None, False), 2: (False, None, False), 3: (False, None, False), 4: (False, "E", True), 5: (False, None, False)}
+
+
+def test_a_post_is_parsed_once_for_its_id_and_once_for_its_time(spark):
+    posts = spark.createDataFrame([("r", 1, 0, 0, '{"pk":7,"taken_at":9}')], "run_id string, page_seq int, payload_idx int, pos int, raw string")
+    for rows in (ff.dedup_posts(posts), paging.page_stats(posts)):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+        assert rows.count() == 1
+
+
+def test_route_looks_each_key_up_once(logged):
+    payloads = ff.payload_rows(ff.parse_responses(logged({"data": {"highlights": "text", "user": {"username": "u"}, FEED: None}}, {"data": {"other": "text"}})))
+    routed = ff.route(payloads)
+    assert [r.route for r in routed.orderBy("page_seq").collect()] == ["user_feed", "unknown"]
+    assert "array_contains" not in routed._jdf.queryExecution().optimizedPlan().toString()
