@@ -37,7 +37,9 @@ def spread(rows: DataFrame) -> DataFrame:
     tasks, most, total = dealt[0], dealt[1] or 0, dealt[2] or 0
     if tasks * 2 > cores and most <= TASK_ROWS:
         return rows
-    return rows.repartition(max(cores, -(-total // TASK_ROWS)))
+    # By a number of each row: dealing rows out in turn would sort them all first.
+    numbered = rows.withColumn("_row_number", F.monotonically_increasing_id())
+    return numbered.repartition(max(cores, -(-total // TASK_ROWS)), "_row_number").drop("_row_number")
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,13 +64,15 @@ def distinct_base_urls(manifest: Column) -> Column:
     def urls(node: Column) -> Column:
         return F.coalesce(node["BaseURL"], none)
 
-    periods = F.coalesce(manifest["Period"], F.array())
-    sets = _sets(manifest)
-    reps = F.flatten(F.transform(sets, lambda s: F.coalesce(s["Representation"], F.array())))
-    found = F.concat(
-        urls(manifest),
-        F.flatten(F.transform(periods, urls)),
-        F.flatten(F.transform(sets, urls)),
-        F.flatten(F.transform(reps, urls)),
-    )
-    return F.array_sort(F.array_distinct(F.filter(found, lambda u: u.isNotNull() & (u != ""))))
+    def below(nodes: Column, found: Callable[[Column], Column]) -> Column:
+        return F.coalesce(F.flatten(F.transform(nodes, found)), none)
+
+    def of_set(s: Column) -> Column:
+        return F.concat(urls(s), below(s["Representation"], urls))
+
+    def of_period(p: Column) -> Column:
+        return F.concat(urls(p), below(p["AdaptationSet"], of_set))
+
+    found = F.concat(urls(manifest), below(manifest["Period"], of_period))
+    unwanted = F.array(F.lit(None).cast("string"), F.lit(""))
+    return F.sort_array(F.array_except(found, unwanted))

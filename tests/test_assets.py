@@ -28,6 +28,16 @@ def test_manifest(spark):
     assert got[0].u == ["a", "b&c", "s1", "s2", "z"] and (got[2].u or []) == []
 
 
+def test_urls_of_every_level_once_and_sorted(spark, capsys):
+    url = "<BaseURL>{}</BaseURL>".format
+    whole = f"<MPD>{url('m')}<Period>{url('p')}<AdaptationSet>{url('s')}{url('')}<Representation>{url('z')}{url('m')}</Representation></AdaptationSet></Period>{url('k')}<Period/><Period>{url('é')}{url('Z')}<AdaptationSet/></Period></MPD>"
+    frame = spark.createDataFrame([(0, whole), (1, "<MPD/>"), (2, None), (3, "<MPD><Period>")], "n int, xml string")
+    found = frame.withColumn("m", parse_manifest(F.col("xml"))).select("n", distinct_base_urls(F.col("m")).alias("urls"))
+    assert {r.n: r.urls for r in found.collect()} == {0: ["Z", "k", "m", "p", "s", "z", "é"], 1: [], 2: [], 3: []}
+    found.explain()
+    assert capsys.readouterr().out.count("AdaptationSet, [") <= 1  # each level is walked once
+
+
 def test_pairs_number_manifests_and_skip_those_without_video(raw):
     post = {"id": "7", "video_dash_manifest": mpd(VIDEOS, AUDIO), "carousel_media": [{"video_dash_manifest": ""}, {"video_dash_manifest": mpd(AUDIO)}, {"video_dash_manifest": mpd(VIDEOS)}]}
     got = ff.video_audio_pairs(raw(post)).orderBy("idx").collect()

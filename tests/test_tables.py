@@ -34,3 +34,15 @@ def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path, monkeypatch):
         spark.conf.unset(size)
     assert sum(t["count"] for t in tasks) == 2000
     assert len(tasks) == 10 and max(t["count"] for t in tasks) < 300
+
+
+def test_rows_are_dealt_out_without_a_sort(spark, tmp_path, monkeypatch, capsys):
+    """Equal rows and null keys too: their values do not decide where they go."""
+    monkeypatch.setattr(a, "TASK_ROWS", 200)
+    spark.range(2000).select(F.lit(None).cast("long").alias("event_id")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    rows = a.derive(spark, str(tmp_path), "SELECT event_id FROM events", "events")
+    rows.explain()
+    assert "RoundRobinPartitioning" not in capsys.readouterr().out
+    assert rows.columns == ["event_id"]
+    tasks = [t["count"] for t in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 2000 and len(tasks) == 10 and max(tasks) < 300
