@@ -43,6 +43,8 @@ FIRST_LOOK, FURTHER_LOOK = 5.0, 1.5
 MARGIN = 2.4
 #: Members of a bucket compared at once, and nearest ones that a member is tested with.
 BLOCK, NEAREST = 2048, 6
+#: Pairs of texts that a task compares, about.
+TASK_PAIRS = 2048
 #: Links that a task joins by itself before components meet.
 LOCAL_LINKS = 1 << 20
 
@@ -136,7 +138,7 @@ def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if len(x) * len(y) <= 4096:
         equal = (x[:, None, :] == y[None, :, :]).sum(axis=2)
     else:
-        equal = np.zeros((len(x), len(y)), dtype=np.int32)
+        equal = np.zeros((len(x), len(y)), dtype=np.uint16)
         for k in range(x.shape[1]):
             equal += x[:, k, None] == y[None, :, k]
     return (equal / x.shape[1] - 1 / 256) / (1 - 1 / 256)
@@ -169,7 +171,7 @@ def _group_pairs(keys: np.ndarray, labels: np.ndarray, registers: np.ndarray, st
         # Members of the bucket's largest component are met by the others, not the other way round.
         names, times = np.unique(labels, return_counts=True)
         asking = np.flatnonzero(labels != names[np.argmax(times)]) if times.max() > 1 else np.arange(len(keys))
-        near = np.argsort(-similar[asking], axis=1, kind="stable")[:, :NEAREST]
+        near = np.concatenate([np.argsort(-similar[asking[a : a + 256]], axis=1, kind="stable")[:, :NEAREST] for a in range(0, max(1, len(asking)), 256)])
         i, j = np.repeat(asking, near.shape[1]), near.reshape(-1)
         some = similar[i, j] >= least
         i, j = i[some], j[some]
@@ -357,10 +359,13 @@ def linked(rows: DataFrame, firsts: DataFrame, threshold: float = THRESHOLD) ->
         pairs = grouped.mapInArrow(_pairs(stage, least), "a long, b long").distinct()
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         stored.append(pairs)
-        if pairs.isEmpty():
+        n_pairs = pairs.count()
+        if not n_pairs:
             continue
         tested = pairs if tested is None else tested.union(pairs)
-        near = materialize(_verified(rows, firsts, pairs, threshold), "near-pairs")
+        # Few pairs make few files, whatever the number of shuffle partitions.
+        tasks = max(spark.sparkContext.defaultParallelism, 1 + n_pairs // TASK_PAIRS)
+        near = materialize(_verified(rows, firsts, pairs, threshold, tasks), "near-pairs")
         edges = near if edges is None else edges.union(near)
         stored += [near, labels]
         labels = materialize(components(edges).select(F.col("node").alias("key"), "label"), "labels")
@@ -368,15 +373,15 @@ def linked(rows: DataFrame, firsts: DataFrame, threshold: float = THRESHOLD) ->
     return labels
 
 
-def _verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of keys whose texts reach the threshold, with their similarity."""
+def _verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, threshold: float, tasks: int) -> DataFrame:
+    """Pairs of keys whose texts reach the threshold, with their similarity, by ``tasks`` tasks at most."""
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    ends = materialize(ends.join(firsts.select("key", F.col("doc_id").alias("first_id"), "sha"), "key"), "pair-ends")
+    ends = materialize(ends.join(firsts.select("key", F.col("doc_id").alias("first_id"), "sha"), "key").coalesce(tasks), "pair-ends")
     needed = rows.where(KeyFilter(ends, "key").may_hold("key")).alias("r").join(ends.alias("e"), F.expr("r.key = e.key and r.sha = e.sha and doc_id <=> first_id"))
     # One text for each key, also where rows repeat; the copies of a text have other ids and stay behind.
-    texts = materialize(needed.select("r.key", "text").dropDuplicates(["key"]), "pair-texts")
+    texts = materialize(needed.select("r.key", "text").dropDuplicates(["key"]).coalesce(tasks), "pair-texts")
     joined = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b")
-    return joined.select("a", "b", "a_text", "b_text").mapInArrow(_verifier(threshold), "a long, b long, similarity double")
+    return joined.select("a", "b", "a_text", "b_text").coalesce(tasks).mapInArrow(_verifier(threshold), "a long, b long, similarity double")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

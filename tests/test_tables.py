@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import feedframe as ff
 from checks import QUERIES
 from checks import adapters as a
+from feedframe.session import materialize
 
 TURNS = [(c, t, "user", f"text {c} {t}") for c in (0, 1, 4, 5, 8, 9) for t in range(4)]
 
@@ -46,3 +47,25 @@ def test_rows_are_dealt_out_without_a_sort(spark, tmp_path, monkeypatch, capsys)
     assert rows.columns == ["event_id"]
     tasks = [t["count"] for t in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(tasks) == 2000 and len(tasks) == 10 and max(tasks) < 300
+
+
+def test_long_texts_go_to_python_in_small_batches(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    try:
+        materialize(spark.range(1), "one")
+        texts = spark.range(2000).coalesce(1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+        found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) > 20_000_000 and max(found) < 6_000_000
+        spark.conf.set(name, "1m")
+        materialize(spark.range(1), "one")
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
