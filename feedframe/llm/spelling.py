@@ -145,7 +145,8 @@ def near_words(reduced: DataFrame) -> DataFrame:
     """``word, near, near_n``: every pair of ``reduced_words`` that one edit of a code point parts, both ways round."""
     hoods = reduced.select("word").mapInArrow(_neighbourhoods(KeyFilter(reduced, "key").tester()), "key long, word string")
     other = reduced.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    met = hoods.join(other, "key").where(F.col("word") != F.col("near"))
+    # Spark takes the neighbourhoods for as small as the words they are made of and would broadcast them.
+    met = hoods.hint("merge").join(other, "key").where(F.col("word") != F.col("near"))
     return met.where(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
 
 

@@ -111,6 +111,13 @@ def test_neighbourhoods_are_whole():
         assert set(mine) == want and len(mine) == len(want)
 
 
+def test_neighbourhoods_are_not_broadcast(spark):  # noqa: F811
+    words = spark.createDataFrame([("planet", 9), ("planets", 3), ("garden", 5)], "word string, n long")
+    near = spelling.near_words(spelling.reduced_words(words))
+    assert "BroadcastExchange" not in near._jdf.queryExecution().executedPlan().toString()
+    assert {(r.word, r.near, r.near_n) for r in near.collect()} == {("planet", "planets", 3), ("planets", "planet", 9)}
+
+
 def byte_rows(df):
     return sorted((tuple(r)[:5] for r in df.collect()), key=repr)
 
