@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from feedframe.constants import OUTPUT_SUFFIXES
 from feedframe.operators.flatten import flatten_posts
-from feedframe.session import MOVED_BY_TASKS, materialize, release
+from feedframe.session import MANY_FILES, materialize, release
 from feedframe.sources.files import inputs, is_directory, is_empty, read_posts
 
 
@@ -84,7 +84,7 @@ def write_flat(flat: DataFrame, targets: dict[str, str], partition_by: tuple[str
         if partition_by:
             writer = writer.partitionBy(*partition_by)
             if is_empty(flat.sparkSession, target):
-                writer = writer.mode("append").options(**MOVED_BY_TASKS)
+                writer = writer.mode("append").options(**MANY_FILES)
             else:
                 writer = writer.option("partitionOverwriteMode", "dynamic")
         writer.save(target)
