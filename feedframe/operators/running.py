@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedframe.session import materialize
+from feedframe.session import materialize, size_by_rows
 
 CHUNK = "_chunk"
 
 
 def in_chunks(df: DataFrame, run: str, seq: tuple[str, ...]) -> DataFrame:
     """Rows with the number of their range partition, stored."""
+    size_by_rows(df.sparkSession)
     dealt = df.repartitionByRange(F.col(run), *[F.col(c) for c in seq])
     return materialize(dealt.withColumn(CHUNK, F.spark_partition_id()), "running-chunks")
 

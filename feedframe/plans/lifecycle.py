@@ -38,7 +38,7 @@ from feedframe.operators.paging import (
     with_stop_code,
 )
 from feedframe.operators.routing import node_rows, route_posts, with_nodes
-from feedframe.session import materialize
+from feedframe.session import materialize, size_by_rows
 from feedframe.sources.responses import filter_api_responses, parse_responses, payload_rows
 
 Cursors = Callable[[DataFrame], DataFrame]
@@ -178,6 +178,7 @@ def rebuild_runs(
     A run's ``result`` is null where its log ends before a rule does. Each body is parsed
     once, into a stored table; no later step moves a body.
     """
+    size_by_rows(requests.sparkSession)
     asked = materialize(_asked(requests, tz, caps), "asked")
     kinds = "cursor_kind" in asked.columns and cursors is None
     read = cursors or (_both_cursors if kinds else page_info)

@@ -392,3 +392,19 @@ def test_route_looks_each_key_up_once(logged):
     routed = ff.route(payloads)
     assert [r.route for r in routed.orderBy("page_seq").collect()] == ["user_feed", "unknown"]
     assert "array_contains" not in routed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_run_tables_are_sized_by_rows(spark):
+    """Spark would broadcast a table of runs by the bytes of its file, far below those of its rows."""
+    from feedframe.session import materialize
+
+    pages = spark.range(0, 60_000, 1, 4).select(F.concat(F.lit("run"), F.col("id")).alias("run_id"), F.lit(0).alias("page_seq"), F.lit(1).alias("new_count"))
+    runs = materialize(pages.select("run_id", F.lit("Search").alias("endpoint")), "few-bytes")
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    try:
+        counted = running(pages, sums={"all_count": F.col("new_count")}).join(runs, "run_id", "left")
+        assert "BroadcastExchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+    assert counted.count() == 60_000
